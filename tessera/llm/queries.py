@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprint, quality
+from tessera.llm import fingerprint, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
     base = quality.POLICIES["v1"].rejects(F.col("failures"))
@@ -22,6 +27,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.Mix(_table(spark, sf_dir, "documents")).rows()
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "key")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprint.with_next(_table(spark, sf_dir, "documents"))
     pairs = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprint, mixing, packing, quality, sharding, simhash, tokens
+from tessera.llm import fingerprint, lm, mixing, packing, quality, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(_table(spark, sf_dir, "documents"))
+    per_word = F.round(F.col("log_score") / F.when(F.col("n_words") > 0, F.col("n_words")), 6)
+    return scored.select("doc_id", "n_words", "n_seen", per_word.alias("mean_log_score"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex(F.get("words", F.lit(0))), 16, "0"))
@@ -76,5 +82,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+ORACLE = {
+    "op9_lm_scoring": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+        n AS (SELECT count(*) AS total FROM t),
+        u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+        v AS (SELECT w, c FROM u, n WHERE c >= greatest(1, ceil(total / 1000000))),
+        k AS (SELECT t.doc_id, t.i, coalesce(v.w, '<rare>') AS w FROM t LEFT JOIN v USING (w)),
+        c1 AS (SELECT w, count(*) AS c FROM k GROUP BY w
+               UNION ALL SELECT '<start>', count(*) FROM d WHERE len(ws) > 0),
+        b AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<start>') AS a, w FROM k),
+        c2 AS (SELECT a, w, count(*) AS c FROM b GROUP BY a, w),
+        s AS (SELECT b.doc_id, (c2.c >= 2)::INT AS seen,
+                     CASE WHEN c2.c >= 2 THEN ln(c2.c / x.c) ELSE ln(0.4) + ln(y.c / total) END AS score
+              FROM b JOIN c2 USING (a, w) JOIN c1 x ON x.w = b.a JOIN c1 y ON y.w = b.w, n)
+        SELECT d.doc_id, coalesce(count(score), 0)::BIGINT AS n_words, coalesce(sum(seen), 0)::BIGINT AS n_seen,
+               round(sum(score) / count(score), 6) AS mean_log_score
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

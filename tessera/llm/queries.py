@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprint, lm, mixing, packing, quality, sharding, simhash, tokens
+from tessera.llm import fingerprint, lm, mixing, packing, pii, quality, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    extra = F.array_join(F.transform("extra", lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["stop"])), ",")
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), extra)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.document_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     packed = packing.pack(cut, packing.Limits())

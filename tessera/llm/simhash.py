@@ -5,7 +5,8 @@ hashes have it set. Documents of equal fingerprint are one node. Two nodes are c
 
 * ``blocks``: five blocks of the 64 bits, a key for each pair of blocks. Fingerprints that differ in three bits or fewer
   agree in two blocks at least, so no link is lost.
-* ``anchors``: for wide radii, where blocks select nothing: bands of three least shingle hashes.
+* ``anchors``: for wide radii, where blocks select nothing: bands of three least shingle hashes. What survives the radius
+  then is a candidate group only, and ``confirmed`` links its members by the exact similarity of their shingle sets.
 
 Within a key, each node's distances to the reference fingerprints (the pivot table) are computed once; a pair whose
 distances to any reference differ by more than the radius is discarded by the triangle inequality, the others are
@@ -34,6 +35,7 @@ from tessera.llm.common import stored
 
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _PIECE = 1 << 15
+_GROUP = 1024
 
 
 @dataclass(frozen=True)
@@ -46,12 +48,14 @@ class Near:
     keys: str = "blocks"
     bands: int = 12
     pivots: int = 16
+    similarity: float | None = None
 
 
 #: The contract: three-word shingles, 64 bits, three differing bits.
 CLOSE = Near()
-#: Five-word shingles, similarity 0.8: expected to differ in 39 of 256 bits; the radius adds two and a half deviations.
-SIMILAR = Near(shingle=5, words=4, radius=53, keys="anchors")
+#: Five-word shingles, similarity 0.8: expected to differ in 39 of 256 bits; the radius adds nearly four deviations, and
+#: the exact similarity decides.
+SIMILAR = Near(shingle=5, words=4, radius=60, keys="anchors", similarity=0.8)
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -194,6 +198,78 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the sets (sorted, distinct) of Jaccard similarity or more, by an inverted index."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    posted = owner[np.argsort(item, kind="stable")]
+    ends = np.cumsum(np.bincount(item))
+    starts = np.r_[0, ends[:-1]]
+    own = np.split(item, np.cumsum(sizes)[:-1])
+    left = np.arange(len(sets))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            lengths = ends[own[x]] - starts[own[x]]
+            at = np.repeat(starts[own[x]] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+            shared = np.bincount(posted[at], minlength=len(sets))[left]
+            close = shared >= similarity * (sizes[x] + sizes[left] - shared) - 1e-9
+            for y in left[close]:
+                yield int(x), int(y)
+            queue.extend(left[close])
+            left = left[~close]
+
+
+def _confirmer(near: Near) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def edges(nodes: list[int], texts: list[str]) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, near.shingle)) for t in texts]
+        pairs = [(nodes[a], nodes[b]) for a, b in alike(sets, near.similarity)] if len(nodes) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, texts = None, [], []
+        for batch in batches:
+            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != now:
+                    if nodes:
+                        yield edges(nodes, texts)
+                    now, nodes, texts = key, [], []
+                nodes.append(node)
+                texts.append(text)
+        if nodes:
+            yield edges(nodes, texts)
+
+    return run
+
+
+def confirmed(docs: DataFrame, candidates: DataFrame, near: Near) -> DataFrame:
+    """Edges (a, b) of exact similarity inside candidate groups. ``candidates``: node, first, root.
+
+    One text for each node is read. A group beyond ``_GROUP`` nodes is cut into blocks and every pair of its blocks goes
+    to a task of its own, so that memory is bounded and no pair of nodes is left out.
+    """
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    members = candidates.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / _GROUP).cast("int"))
+    members = members.select("node", "root", "blocks", F.col("first.doc_id").alias("id"), F.col("first.tie").alias("t"))
+    members = stored(members.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t"))
+    texts = rows.join(members, same).select("node", "root", "blocks", "mine", "text")
+    other = texts.select("node", "root", "mine", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    key = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = other.select(key.alias("key"), "node", "text").repartition("key").sortWithinPartitions("key", "node")
+    return stored(dealt.mapInArrow(_confirmer(near), "a long, b long").where("a <> b").distinct(), "confirmed")
+
+
+def _groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, first, root of every node; nodes without edges are groups of their own."""
+    if edges.isEmpty():
+        return nodes.select("node", "first", F.col("node").alias("root"))
+    return nodes.join(components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
     """doc_id, tie, words and the component's least member (first_id, first_tie) of every document."""
     rows = sketches(docs, near)
@@ -201,12 +277,11 @@ def near_duplicates(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
     nodes = stored(rows.groupBy("node").agg(first, F.min(F.struct("words", "keys")).alias("s")).select("node", "first", "s.*"), "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "words").repartition("key").sortWithinPartitions("key")
     edges = stored(keyed.mapInArrow(_linker(near), "a long, b long").distinct(), "links")
-    if edges.isEmpty():
-        roots = nodes.select("node", F.col("first").alias("of"))
-    else:
-        labelled = nodes.join(components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-        least = labelled.groupBy("root").agg(F.min("first").alias("of"))
-        roots = labelled.join(least, "root").select("node", "of")
+    labelled = _groups(nodes, edges)
+    if near.similarity is not None:
+        labelled = _groups(nodes, confirmed(docs, labelled, near))
+    least = labelled.groupBy("root").agg(F.min("first").alias("of"))
+    roots = labelled.join(least, "root").select("node", "of")
     return rows.select("doc_id", "tie", "node", "words").join(roots, "node").select(
         "doc_id", "tie", "words", F.col("of.doc_id").alias("first_id"), F.col("of.tie").alias("first_tie")
     )

@@ -15,6 +15,7 @@ one by one; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, words
+from tessera.llm.common import stored
 
 ALPHA = 0.4
 SEEN = 2
 RAREST = 1_000_000  # a word has an entry of its own if it makes up at least one in so many words
-PART = 4_000_000
+PART = 2_000_000
+SLICE = 1 << 18
+HELD = 200_000
 CHUNK = 256
 CHUNK_WORDS = 1 << 20
 _BITS = 20
@@ -44,11 +47,31 @@ class Vocabulary:
     n_words: int
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts in part of the documents; what is held is bounded, the rest is added up after a shuffle."""
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["w", "n"])
+        held.clear()
+        return out
+
+    held: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            own = (text.as_py() or "").encode().split()
+            if own:
+                held.update(w.decode() for w in own)
+                held[""] += 1
+            if len(held) >= HELD:
+                yield flush()
+    if held:
+        yield flush()
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """Unigram counts over all documents; the empty string stands for the start of a document that has words."""
-    own = words(docs["text"])
-    tokens = docs.select(F.explode(F.when(F.size(own) > 0, F.concat(F.array(F.lit("")), own))).alias("w"))
-    counts = stored(tokens.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
+    partial = docs.select("text").mapInArrow(_word_counts, "w string, n long")
+    counts = stored(partial.groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
     total = counts.where("w <> ''").agg(F.sum("n")).first()[0] or 0
     rows = counts.where((F.col("n") >= max(1, -(-total // RAREST))) | (F.col("w") == "")).collect()  # RAREST + 1 rows at most
     start = sum(r[1] for r in rows if r[0] == "")
@@ -105,15 +128,23 @@ def _scorer(shared) -> Callable[[pa.Table], pa.Table]:
         raw = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.uint8).reshape(-1, _WIDTH)
         keys = np.zeros((len(raw), 8), dtype=np.uint8)
         keys[:, :_WIDTH] = raw
-        own, at, counts = np.unique(keys.view("<i8").ravel(), return_inverse=True, return_counts=True)
+        keys = keys.view("<i8").ravel()
+        own, counts = np.unique(keys, return_counts=True)
         first, second = own >> _BITS, own & ((1 << _BITS) - 1)
         seen = counts >= SEEN
         score = np.where(seen, np.log(counts / v.counts[first]), math.log(ALPHA) + np.log(v.counts[second] / max(1, v.n_words)))
         sizes = rows.column("sizes").combine_chunks()
         n = sizes.flatten().to_numpy()
-        doc = np.repeat(np.arange(len(n)), n)
-        total = np.bincount(doc, weights=score[at], minlength=len(n))
-        hits = np.bincount(doc, weights=seen[at], minlength=len(n)).astype(np.int32)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        total, hits = np.zeros(len(n)), np.zeros(len(n))
+        for lo in range(0, len(keys), SLICE):  # the join of counts to occurrences, in slices that keep memory low
+            at = np.searchsorted(own, keys[lo : lo + SLICE])
+            d = doc[lo : lo + SLICE]
+            base = d[0]
+            total[base : d[-1] + 1] += np.bincount(d - base, weights=score[at])
+            hits[base : d[-1] + 1] += np.bincount(d - base, weights=seen[at])
+        hits = hits.astype(np.int32)
+        pa.default_memory_pool().release_unused()
         as_lists = lambda x: pa.ListArray.from_arrays(sizes.offsets, pa.array(x))
         columns = [rows.column("chunk"), rows.column("docs"), sizes, as_lists(hits), as_lists(total)]
         return pa.table(columns, names=["chunk", "docs", "sizes", "hits", "total"])

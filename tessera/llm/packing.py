@@ -13,7 +13,9 @@ limit raises; an empty table gives no rows; other columns of the examples are ca
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -29,7 +31,7 @@ from tessera.llm.tokens import by_bytes
 
 END = 2
 BLOCK = 8192
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -39,27 +41,63 @@ class Limits:
     loss: int = 4096
 
 
+#: A word of Latin letters with trailing marks: two pre-tokens at most, and lower case is the same in every library.
+_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    kept = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    moved = (b for b in range(256) if b not in kept)
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(moved)}
+
+
 class Ids:
     """Ids of texts as little-endian 32-bit bytes; words that a worker has met are not encoded again.
 
     Blanks and line ends separate pre-tokens of a word vocabulary and are dropped, so a text's ids are those of its words.
+    A plain word goes straight to the vocabulary's merges, any other through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _core(self, core: str) -> bytes:
+        raw = self.cores.get(core)
+        if raw is None:
+            spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            raw = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return raw
+
+    def _learn(self, new: set[str]) -> None:
+        other = []
+        for w in new:
+            if (m := _plain.fullmatch(w)) and (not m[2] or m[2] in self.cores):
+                self.known[w] = self._core(m[1].lower()) + (self.cores[m[2]] if m[2] else b"")
+            else:
+                other.append(w)
+        for batch in by_bytes(other):
+            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+                if (m := _plain.fullmatch(w)) and m[2] and m[2] not in self.cores:
+                    self.cores[m[2]] = array("I", self.tokenizer.encode(m[2], add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in cut for w in words if w not in self.known}
-        for batch in by_bytes(new):
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        known = self.known
+        new = {w for words in cut for w in words if w not in known}
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        if len(known) > MEMORY:
+            known.clear()
+        if len(self.cores) > MEMORY:
+            self.cores.clear()
         return out
 
 

@@ -80,18 +80,22 @@ def as_text(fingerprint: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two packed fingerprints, corrected for bits that agree by chance."""
 
-    def differing(q: int) -> Column:
-        x = F.get(a, F.lit(q)).bitwiseXOR(F.get(b, F.lit(q)))
+    def differing(s: Column, q: int) -> Column:
+        x = F.get(s["a"], F.lit(q)).bitwiseXOR(F.get(s["b"], F.lit(q)))
         for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
+            x = let(x, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask))))  # noqa: B023 - used at once
         return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    total = differing(0)
-    for q in range(1, BINS // _PER_WORD):
-        total = total + differing(q)
-    chance = 2.0**-BITS
-    score = F.greatest(F.lit(0.0), ((BINS - total) / F.lit(float(BINS)) - chance) / (1 - chance))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(score)
+    def compared(s: Column) -> Column:
+        total = differing(s, 0)
+        for q in range(1, BINS // _PER_WORD):
+            total = total + differing(s, q)
+        chance = 2.0**-BITS
+        score = F.greatest(F.lit(0.0), ((BINS - total) / F.lit(float(BINS)) - chance) / (1 - chance))
+        none = (F.size(s["a"]) == 0) | (F.size(s["b"]) == 0)
+        return F.when(none, (F.size(s["a"]) == F.size(s["b"])).cast("double")).otherwise(score)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), compared)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,9 +4,10 @@ Model: bigrams over whole texts. A bigram seen twice or more scores its count ov
 backs off to 0.4 times the frequency of its second word. Words that are rarer than one in a million share one symbol, so
 the vocabulary has a million entries at most, whatever the corpus, and its counts may be broadcast.
 
-Bigrams are another matter: they grow with the corpus. Workers emit them by hash part, many documents a row, as packed
-five-byte keys; each part counts its keys, joins the counts to the occurrences and returns sums per document. A bigram
-that every document has costs its part one key a document and does not make one part larger than others by more.
+Bigrams are another matter: they grow with the corpus. Workers cut the documents into chunks of about a million words and
+emit their bigrams by hash part, one row for a chunk and a part, as packed five-byte keys. Each part counts its keys, joins
+the counts to the occurrences and sums per document; each chunk adds up what the parts say of its documents. There are
+never more rows than bigrams, and a bigram that every document has makes its part larger by one key a document only.
 
 Defined results: a null or empty text has no words, no score (null) and zero counts; repeated rows count and are scored
 one by one; an empty table gives no rows; other columns are not read.
@@ -30,15 +31,26 @@ from tessera.llm.common import stored
 ALPHA = 0.4
 SEEN = 2
 RAREST = 1_000_000  # a word has an entry of its own if it makes up at least one in so many words
-PART = 2_000_000
+PART = 3_000_000
 SLICE = 1 << 18
 HELD = 200_000
-CHUNK = 256
+CHUNK = 4096
 CHUNK_WORDS = 1 << 20
 _BITS = 20
 _WIDTH = 5
 UNKNOWN, START = 0, 1
 
+_EMITTED = {
+    "part": pa.int64(),
+    "chunk": pa.int64(),
+    "place": pa.list_(pa.int32()),
+    "sizes": pa.list_(pa.int32()),
+    "keys": pa.binary(),
+    "docs": pa.list_(pa.int64()),
+    "words": pa.list_(pa.int32()),
+}
+_SCORED = ("chunk", "place", "hits", "total", "docs", "words")
+
 
 @dataclass
 class Vocabulary:
@@ -93,18 +105,18 @@ def _emitter(shared, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             keys = (first << _BITS) | second
             part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            raw = keys.view(np.uint8).reshape(-1, 8)[:, :_WIDTH][order]
-            counts = [np.bincount(doc[order[at[p] : at[p + 1]]], minlength=len(sizes)).astype(np.int32) for p in range(parts)]
-            columns = [
-                pa.array(np.arange(parts)),
-                pa.array(np.full(parts, chunk)),
-                pa.array([docs] * parts, pa.list_(pa.int64())),
-                pa.array(counts, pa.list_(pa.int32())),
-                pa.array([raw[at[p] : at[p + 1]].tobytes() for p in range(parts)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "docs", "sizes", "keys"])
+            order = np.lexsort((doc, part))
+            part, doc, raw = part[order], doc[order].astype(np.int32), keys.view(np.uint8).reshape(-1, 8)[order, :_WIDTH]
+            at = np.searchsorted(part, np.arange(parts + 1))
+            rows = []
+            for p in range(parts):
+                d = doc[at[p] : at[p + 1]]
+                told = p == chunk % parts  # one row of the chunk lists its documents
+                if len(d) or told:
+                    starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.array([], dtype=np.int64)
+                    n = np.diff(np.r_[starts, len(d)]).astype(np.int32)
+                    rows.append((p, chunk, d[starts], n, raw[at[p] : at[p + 1]].tobytes(), docs if told else None, sizes if told else None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _EMITTED.values(), strict=True)], list(_EMITTED))
 
         docs, found, held = [], [], 0
         for batch in batches:
@@ -146,20 +158,28 @@ def _scorer(shared) -> Callable[[pa.Table], pa.Table]:
         hits = hits.astype(np.int32)
         pa.default_memory_pool().release_unused()
         as_lists = lambda x: pa.ListArray.from_arrays(sizes.offsets, pa.array(x))
-        columns = [rows.column("chunk"), rows.column("docs"), sizes, as_lists(hits), as_lists(total)]
-        return pa.table(columns, names=["chunk", "docs", "sizes", "hits", "total"])
+        columns = {c: rows.column(c) for c in ("chunk", "place", "docs", "words")}
+        return pa.table({"hits": as_lists(hits), "total": as_lists(total), **columns}).select(list(_SCORED))
 
     return run
 
 
+def _adder(rows: pa.Table) -> pa.Table:
+    """What all parts say of the documents of one chunk."""
+    flat = {c: rows.column(c).combine_chunks().flatten().to_numpy() for c in ("place", "hits", "total")}
+    docs, words = (rows.column(c).drop_null().combine_chunks().flatten() for c in ("docs", "words"))
+    hits, total = (np.bincount(flat["place"], weights=flat[c], minlength=len(docs)) for c in ("hits", "total"))
+    columns = [docs, words.cast(pa.int64()), pa.array(hits.astype(np.int64)), pa.array(total.astype(np.float64), mask=words.to_numpy() == 0)]
+    return pa.table(columns, names=["doc_id", "n_words", "n_seen", "log_score"])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_seen (bigrams that did not back off), log_score (natural) of every document."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     counted = vocabulary(rows)
     shared = docs.sparkSession.sparkContext.broadcast(counted)
     parts = max(1, math.ceil(counted.n_words / PART))
-    emitted = rows.mapInArrow(_emitter(shared, parts), "part long, chunk long, docs array<long>, sizes array<int>, keys binary")
-    scored = emitted.groupBy("part").applyInArrow(_scorer(shared), "chunk long, docs array<long>, sizes array<int>, hits array<int>, total array<double>")
-    each = scored.select("chunk", F.posexplode(F.arrays_zip("docs", "sizes", "hits", "total")).alias("pos", "d"))
-    sums = each.groupBy("chunk", "pos").agg(F.max("d.docs").alias("doc_id"), *[F.sum(f"d.{c}").alias(c) for c in ("sizes", "hits", "total")])
-    return sums.select("doc_id", F.col("sizes").alias("n_words"), F.col("hits").alias("n_seen"), F.when(F.col("sizes") > 0, F.col("total")).alias("log_score"))
+    lists = "docs array<long>, words array<int>"
+    emitted = rows.mapInArrow(_emitter(shared, parts), f"part long, chunk long, place array<int>, sizes array<int>, keys binary, {lists}")
+    scored = emitted.groupBy("part").applyInArrow(_scorer(shared), f"chunk long, place array<int>, hits array<int>, total array<double>, {lists}")
+    return scored.groupBy("chunk").applyInArrow(_adder, "doc_id long, n_words long, n_seen long, log_score double")

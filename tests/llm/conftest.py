@@ -2,30 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("lang", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("n_chars", T.LongType()),
-    # columns of names that the operators use themselves
-    T.StructField("size", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("node", T.StringType()),
-    T.StructField("block", T.StringType()),
-    T.StructField("shard", T.StringType()),
-    T.StructField("failures", T.StringType()),
-])
-
-
-def rows(texts, sources=None):
-    return [
-        (k, t, "en", (sources or ["a", "b", None])[k % len(sources or [0, 0, 0])], None if t is None else len(t), *["x"] * 6) for k, t in enumerate(texts)
-    ]
+from llm_data import SCHEMA, rows  # noqa: E402
 
 
 @pytest.fixture

@@ -43,6 +43,26 @@ class Merge(str, Enum):
     OTHER = "other"
 
 
+def _number(key: object) -> object:
+    """Keys of JSON objects are text; meanings belong to values."""
+    if isinstance(key, str):
+        for kind in (int, float):
+            try:
+                return kind(key)
+            except ValueError:
+                pass
+    return key
+
+
+def _plain(value: object) -> object:
+    """As YAML holds it: keys as they are, anything unknown as text."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    return value if value is None or type(value) in (bool, int, float, str) else str(value)
+
+
 _MERGEABLE = (ListOfValues, MinMax, ColumnStats)
 
 
@@ -122,7 +142,7 @@ class ColumnSpec:
             unit=data.get("unit"),
             value_range=from_dict(data["value_range"], convert) if data.get("value_range") else None,
             value_stats=ColumnStats.from_dict(stats) if stats else None,
-            value_meanings=dict(data.get("value_meanings") or {}),
+            value_meanings={_number(convert(k)): v for k, v in (data.get("value_meanings") or {}).items()} if kind is None or not types_.is_string(kind) else dict(data.get("value_meanings") or {}),
         )
 
     def to_field_metadata(self) -> dict:
@@ -274,7 +294,7 @@ class FrameSpec:
         return FrameSpec([ColumnSpec.from_dict(c) for c in data["columns"]], notes)
 
     def save_yaml(self, path: str | Path) -> None:
-        Path(path).write_text(yaml.safe_dump(json.loads(json.dumps(self.to_dict(), default=str)), sort_keys=False, allow_unicode=True))
+        Path(path).write_text(yaml.safe_dump(_plain(self.to_dict()), sort_keys=False, allow_unicode=True))
 
     @staticmethod
     def load_yaml(path: str | Path) -> FrameSpec:

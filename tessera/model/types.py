@@ -34,6 +34,17 @@ _SIMPLE: dict[str, T.DataType] = {
     "enum": T.StringType(),
     "decimal": T.DecimalType(38, 18),
 }
+# Spark's own names, as far as they do not mean something else above ("float" is a double here, "int" a long).
+_DDL: dict[str, T.DataType] = {
+    "tinyint": T.ByteType(),
+    "smallint": T.ShortType(),
+    "integer": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "interval day to second": T.DayTimeIntervalType(),
+}
 _BUILTIN = {int: "int", float: "float", str: "str", bool: "bool", bytes: "bytes", dt.datetime: "datetime", dt.date: "date", dt.timedelta: "duration"}
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMERIC = (*INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
@@ -74,16 +85,40 @@ def resolve(name: object) -> T.DataType:
         if kind in ("decimal", "enum", "categorical"):
             sizes = [a.value for a in [*tree.args, *(k.value for k in tree.keywords)] if isinstance(a, ast.Constant)]
             return T.DecimalType(*sizes[:2]) if kind == "decimal" and sizes and all(isinstance(x, int) for x in sizes[:2]) else _SIMPLE[kind]
+    if text.startswith("array<") and text.endswith(">"):
+        return T.ArrayType(resolve(text[6:-1]))
+    if text in _DDL:
+        return _DDL[text]
     try:
         return T.DataType.fromDDL(text)
     except Exception as e:
         raise ValueError(f"Type: '{text}' is not known") from e
 
 
+_SHOWN = {
+    "LongType": "int",
+    "DoubleType": "float",
+    "StringType": "str",
+    "BooleanType": "bool",
+    "ByteType": "Int8",
+    "ShortType": "Int16",
+    "IntegerType": "Int32",
+    "FloatType": "Float32",
+    "BinaryType": "Binary",
+    "DateType": "Date",
+    "TimestampNTZType": "Datetime(time_unit='us')",
+    "TimestampType": "Datetime(time_unit='us', time_zone='UTC')",
+    "DayTimeIntervalType": "Duration(time_unit='us')",
+}
+
+
 def show(kind: T.DataType) -> str:
-    """The name under which a type is written to spec files: short where a Python builtin says the same."""
-    short = {T.LongType(): "int", T.DoubleType(): "float", T.StringType(): "str", T.BooleanType(): "bool"}
-    return short.get(kind, kind.simpleString())
+    """The name under which a type is written to spec files; ``resolve`` reads it back."""
+    if isinstance(kind, T.DecimalType):
+        return f"Decimal({kind.precision}, {kind.scale})"
+    if isinstance(kind, T.ArrayType):
+        return f"List({show(kind.elementType)})"
+    return _SHOWN.get(type(kind).__name__, kind.simpleString())
 
 
 def is_string(kind: T.DataType) -> bool:

@@ -78,7 +78,7 @@ def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list
     What reaches the driver is bounded by ``most`` + 1 rows.
     """
     rows = [r[0] for r in df.select(quoted(column).alias("c")).distinct().orderBy(F.asc_nulls_last("c")).limit(most + 1).collect()]
-    if len(rows) > most or sum(bool(_TIME.search(v)) for v in rows[:10] if v is not None) >= 3:
+    if len(rows) > most or sum(bool(_TIME.search(str(v))) for v in rows[:10] if v is not None) >= 3:
         return None
     return rows
 

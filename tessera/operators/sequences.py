@@ -23,14 +23,13 @@ def sequences(df: DataFrame, order: Sequence[str], features: Sequence[str], leng
     by = Window.partitionBy(quoted(group)) if group else Window.partitionBy(F.lit(0))
     w = by.orderBy(*[quoted(c) for c in order])
     pack = lambda names: F.struct(*[quoted(c) for c in names])
-    made = df.withColumn("X", F.collect_list(pack(features)).over(w.rowsBetween(0, length - 1)))
-    made = made.withColumn("start", F.row_number().over(w).cast("long") - 1)
-    kept = [*([group] if group else []), "start", "X"]
+    # One projection: names of the result may equal those of features.
+    made = [(F.row_number().over(w).cast("long") - 1).alias("start"), F.collect_list(pack(features)).over(w.rowsBetween(0, length - 1)).alias("X")]
     condition = F.size("X") == length
     if horizon:
-        made = made.withColumn("y", F.collect_list(pack(targets or features)).over(w.rowsBetween(length, length + horizon - 1)))
-        kept, condition = [*kept, "y"], condition & (F.size("y") == horizon)
-    return made.where(condition).select(*[quoted(c) for c in kept])
+        made.append(F.collect_list(pack(targets or features)).over(w.rowsBetween(length, length + horizon - 1)).alias("y"))
+        condition = condition & (F.size("y") == horizon)
+    return df.select(*([quoted(group)] if group else []), *made).where(condition)
 
 
 def random_sequences(df: DataFrame, group: str, order: Sequence[str], features: Sequence[str], length: int, horizon: int = 0, targets: Sequence[str] | None = None, batch: int = 64, seed: int = 0) -> DataFrame:

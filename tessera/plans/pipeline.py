@@ -127,6 +127,11 @@ class Pipeline(Step):
         self.graph, self.stats = Graph(), []
         self.validation_output_spec: FrameSpec | None = None
 
+    def __deepcopy__(self, memo: dict) -> Pipeline:
+        made = super().__deepcopy__(memo)
+        made.graph, made.stats = copy.deepcopy(self.graph, memo), []
+        return made
+
     # -- building ------------------------------------------------------------------------------------------------------
 
     @property

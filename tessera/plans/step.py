@@ -228,6 +228,12 @@ class Step:
         kind = find(data["class_name"], data["module_name"])
         return kind(**(data.get("parameters") or {})).map_names(data.get("name_mappings"))
 
+    def __deepcopy__(self, memo: dict) -> Step:
+        """Mappings are copied; parameters, data frames among them, are shared."""
+        made = object.__new__(type(self))
+        made.__dict__.update(self.__dict__, _mappings={k: dict(v) for k, v in self.mappings.items()})
+        return made
+
     def __eq__(self, other: object) -> bool:
         return type(self) is type(other) and self.to_dict() == other.to_dict()
 

@@ -172,7 +172,20 @@ class AnnotatedFrame:
         history = self.spec.annotations.get(HISTORY)
         return self._with(self._df, self.spec.add_annotation(History([*(history.changes if history else []), change])))
 
-    # -- files ---------------------------------------------------------------------------------------------------------
+    # -- sources -------------------------------------------------------------------------------------------------------
+
+    @staticmethod
+    def from_dict(spark, data: dict[str, Sequence], **options) -> AnnotatedFrame:
+        """From columns of values on the driver."""
+        import pandas as pd
+
+        return AnnotatedFrame.from_pandas(spark, pd.DataFrame(data), **options)
+
+    @staticmethod
+    def from_pandas(spark, data, spec: FrameSpec | None = None, mode: Mode = Mode.IGNORE) -> AnnotatedFrame:
+        """From a pandas frame on the driver; without a specification it is inferred."""
+        df = spark.createDataFrame(data)
+        return AnnotatedFrame(df, spec if spec is not None else validation.infer(df), mode)
 
     @staticmethod
     def from_files(spark, files: Sequence[str | Path], metadata_required: bool = True, mode: Mode = Mode.READONLY, strategy: Merge = Merge.THIS) -> AnnotatedFrame:

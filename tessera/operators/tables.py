@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names; a temporary one only where it names none."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage with a reliable checkpoint; a folder of our own only where the session names none."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"tessera-{name}-"))
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"tessera-{name}-"))
     return df.checkpoint()

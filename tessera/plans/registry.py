@@ -61,6 +61,35 @@ def positions(spark: SparkSession, sf_dir: str) -> AnnotatedFrame:
     return wrap(e.withColumns({"lat": lat, "lon": lon}), *SPECS)
 
 
+# -- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def csv_scan(spark, sf_dir):
+    """Written with two spellings of null and read back with types inferred from all rows."""
+    from tessera.operators.tables import folder
+    from tessera.sources.csv import read_csv
+
+    hide = lambda c, n, text: F.when(F.col("c_custkey") % n != 0, F.col(c).cast("string")).otherwise(F.lit(text)).alias(c)
+    c = table(spark, sf_dir, "customer").select("c_custkey", hide("c_name", 3, "None"), hide("c_acctbal", 4, "null"))
+    c.write.option("header", True).option("sep", ";").csv(path := folder(spark, "csv_scan"))
+    return read_csv(spark, [path])
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS name, NULL::BIGINT AS region FROM nation UNION ALL SELECT NULL, r_name, r_regionkey::BIGINT FROM region")
+def parquet_scan(spark, sf_dir):
+    """Files of different columns united by name, columns in order."""
+    from tessera.operators.tables import folder
+    from tessera.sources.readers import read_parquet
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("key"))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("region"), F.col("r_name").alias("name"))
+    paths = [folder(spark, "parquet_scan") for _ in range(2)]
+    for df, path in zip((n, r), paths, strict=True):
+        df.write.parquet(path)
+    return read_parquet(spark, paths)
+
+
 # -- filters -----------------------------------------------------------------------------------------------------------
 
 

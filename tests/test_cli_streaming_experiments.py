@@ -99,7 +99,9 @@ def test_experiment(spark, tmp_path):
     last, linear = (report["models"][m]["evaluation"]["test"] for m in ("LastValue", "LinearForecast"))
     assert last["windows"] == linear["windows"] == 4 * 7 and linear["mse"] < 1e-6 < last["mse"]
     folder = next(p for p in tmp_path.iterdir() if p.is_dir())
-    assert {p.name for p in folder.iterdir()} == {"double.tessera.ppl", "LinearForecast.npy", "report.yaml"}
+    assert {p.name for p in folder.iterdir()} == {
+        "double.tessera.ppl", "LinearForecast.npy", "report.yaml", "evaluation.csv", "LastValue.history.csv", "LinearForecast.history.csv",
+    }
     assert yaml.safe_load((folder / "report.yaml").read_text())["task"] == "forecast"
     with pytest.raises(ValueError, match="no group column"):
         experiments.Experiment(experiments.ForecastTask("f", Pipeline("p"), ["x"], ["x"], group_column="zzz"), "", str(tmp_path / "b")).run(spark, track(spark))

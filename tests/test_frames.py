@@ -113,6 +113,11 @@ def test_forwarding(spark):
     assert f.equals(f.df.orderBy("x")) and not f.equals(f.df.limit(2))
 
 
+def test_from_values_on_the_driver(spark):
+    f = AnnotatedFrame.from_dict(spark, {"x": [1, 2], "s": ["a", "b"]})
+    assert f.spec["x"].value_range == MinMax(1, 2) and f.spec["s"].value_range == ListOfValues(["a", "b"])
+
+
 def test_metadata_travels_in_fields(spark, tmp_path):
     f = AnnotatedFrame(longs(spark, x=[1]), spec(x={"unit": "km", "value_range": MinMax(0, 5)}))
     f.export(tmp_path / "e.parquet")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD_SEPARATORS, let, stored
 
 BUCKETS = 16384
+STRIDE = 128
 MOST_EPOCHS = 3
 
 
@@ -76,14 +77,27 @@ class Mix:
         by_bucket = self.narrow.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
         sizes = by_bucket.groupBy("source").agg(F.sum("n").alias("source_size"))
         plan = _with_weights(sizes, weights)
-        # The bucket in which the rest ends: the first whose running sum exceeds it.
-        run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ends = by_bucket.withColumn("upto", F.sum("n").over(run)).alias("b").join(plan.select("source", "rest").alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        ends = ends.where("upto > rest").groupBy("b.source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")), "bucket").alias("ends"))
+        # The bucket in which the rest ends: first among sums of STRIDE buckets, then among the buckets of that one, so that
+        # no window has more rows of a source than the square root of its buckets.
+        sums = by_bucket.withColumn("stride", F.floor(F.col("bucket") / STRIDE).cast("int"))
+        coarse = self._crossing(sums.groupBy("source", "stride").agg(F.sum("n").alias("n")), "stride", plan.select("source", "rest"))
+        inside = sums.alias("b").join(coarse.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")) & (F.col("b.stride") == F.col("c.ends.stride")))
+        left = coarse.select("source", (F.col("rest") - F.col("ends.before")).alias("rest"), F.col("ends.before").alias("offset"))
+        fine = self._crossing(inside.select("b.source", "b.bucket", "b.n"), "bucket", left.select("source", "rest"))
+        ends = fine.alias("f").join(left.alias("l"), F.col("f.source").eqNullSafe(F.col("l.source")))
+        ends = ends.select("f.source", F.struct("f.ends.bucket", (F.col("f.ends.before") + F.col("offset")).alias("before")).alias("ends"))
         joined = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
         columns = [F.col(f"p.{c}") for c in ("source", "source_size", "target", "epochs", "rest")]
         self.plan = stored(joined.select(*columns, F.coalesce("e.ends.bucket", F.lit(self.buckets)).alias("last_bucket"), F.coalesce("e.ends.before", F.lit(0)).alias("before")), "plan")
 
+    @staticmethod
+    def _crossing(sums: DataFrame, place: str, budget: DataFrame) -> DataFrame:
+        """source, rest, ends: the first place whose running sum exceeds the rest, with the sum before it."""
+        run = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = sums.withColumn("upto", F.sum("n").over(run)).alias("s").join(budget.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
+        over = upto.where("upto > rest").select("s.source", "rest", place, (F.col("upto") - F.col("n")).alias("before"))
+        return over.groupBy("source", "rest").agg(F.min_by(F.struct(place, "before"), place).alias("ends"))
+
     def _keyed(self, docs: DataFrame) -> DataFrame:
         weight = quality_weight(F.col("text")) if self.weight is None else self.weight
         keyed = docs.withColumns({"size": size_in_words(F.col("text")), "key": sampling_key(weight, self.seed), "tie": F.xxhash64("text")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -45,8 +46,9 @@ def release() -> None:
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may have ended; the cluster's own clean-up then applies
-            return
+        except Exception:  # noqa: BLE001 - the session has ended: what is on this machine can still go
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 atexit.register(release)

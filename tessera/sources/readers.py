@@ -17,7 +17,7 @@ from tessera.sources.csv import read_csv
 from tessera.sources.hdf5 import read_hdf5, read_hdf5_attributes, read_netcdf
 
 # Suffixes by format, and the footer key under which exported files hold their specification.
-FORMATS = {"parquet": (".parquet", ".pq"), "csv": (".csv",), "hdf5": (".h5", ".hdf5"), "netcdf": (".nc", ".netcdf")}
+FORMATS = {"parquet": (".parquet", ".pq"), "csv": (".csv",), "hdf5": (".h5", ".hdf", ".hdf5"), "netcdf": (".nc", ".netcdf", ".nc4", ".netcdf4")}
 FOOTER_KEY = b"annotated_dataframe"
 
 

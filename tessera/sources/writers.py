@@ -20,10 +20,12 @@ def save(frame: AnnotatedFrame, path: str | Path) -> None:
 
     CSV and Parquet are written by all executors, as a folder of that name.
     """
+    from tessera.sources.readers import FORMATS
+
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     frame.spec.save_yaml(path.with_name(path.stem + SUFFIX))
-    if path.suffix in (".h5", ".hdf5"):
+    if path.suffix in FORMATS["hdf5"]:
         attributes = {c.name: {k: str(v) for k, v in (("unit", c.unit), ("description", c.description)) if v is not None} for c in frame.spec.columns}
         write_hdf5(frame.df, str(path), attributes=attributes)
     elif path.suffix == ".csv":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -163,9 +164,22 @@ class JoinByIntervalAndDistance(Step):
 
 
 def nearest_distance(lat: Column, lon: Column, points: list[tuple[float, float]], radius: float = geo.EARTH_RADIUS) -> Column:
-    """Distance to the nearest of a bounded list of points: an expression, without a join."""
-    places = F.array(*[F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in points])
-    return F.array_min(F.transform(places, lambda p: geo.great_circle_distance(lat, lon, p["lat"], p["lon"], radius)))
+    """Distance to the nearest of a bounded list of points: an expression, without a join.
+
+    Points are unit vectors, computed once: the nearest has the shortest chord, and only that one becomes an arc.
+    """
+    vectors = [(math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p)) for p, q in ((math.radians(a), math.radians(b)) for a, b in points)]
+    places = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip("xyz", v, strict=True)]) for v in vectors])
+    p, q = F.radians(lat), F.radians(lon)
+    here = F.struct((F.cos(p) * F.cos(q)).alias("x"), (F.cos(p) * F.sin(q)).alias("y"), F.sin(p).alias("z"))
+
+    def shortest(h: Column) -> Column:
+        square = lambda v, n: (v[n] - h[n]) * (v[n] - h[n])
+        return F.array_min(F.transform(places, lambda v: square(v, "x") + square(v, "y") + square(v, "z")))
+
+    chord = F.element_at(F.transform(F.array(here), lambda h: shortest(h)), 1)  # so that the row's vector is computed once
+    half = F.sqrt(chord) / 2
+    return F.lit(2.0 * radius) * F.asin(F.when(half > 1, F.lit(1.0)).otherwise(half))
 
 
 def nearest_join(df: DataFrame, lat: str, lon: str, points: DataFrame, p_lat: str, p_lon: str, out: str, radius: float = geo.EARTH_RADIUS, cell: float = 1.0) -> DataFrame:

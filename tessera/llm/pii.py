@@ -152,10 +152,10 @@ def decisions(candidates: DataFrame, counts: DataFrame, rule: Disclosure) -> Dat
     each = candidates.groupBy("entity", "term", "around").agg(F.count("*").alias("times"))
     pairs = each.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("times").alias("together")).where(F.col("support") >= rule.support)
     mentions = candidates.groupBy("entity", "around").agg(F.count("*").alias("places")).groupBy("entity").agg(F.sum("places").alias("places"))
-    total = counts.agg(F.sum("n").alias("total"))
-    known = pairs.join(mentions, "entity").join(counts, "term", "left").crossJoin(total)  # total is one row
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    known = pairs.join(mentions, "entity").join(counts, "term", "left")
     near = F.log2(F.col("together") / F.greatest("together", F.coalesce("n", F.lit(0))))
-    own = -F.log2(F.least(F.lit(0.5), F.col("places") / F.greatest("total", F.lit(1))))
+    own = -F.log2(F.least(F.lit(0.5), F.col("places") / F.lit(total)))
     scored = known.withColumn("disclosure", 1 + near / own).where(F.col("disclosure") >= rule.generalise)
     return scored.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= rule.remove, "remove").otherwise("generalise").alias("action"))
 
@@ -165,7 +165,7 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = stored(rows.mapInArrow(_finder(rule.reach), _FOUND), "pii")
     candidates = found.where(F.size("terms") > 0).select("rid", F.explode("terms").alias("t")).select("rid", "t.*")
-    chosen = decisions(candidates, term_counts(rows), rule)
+    chosen = decisions(candidates, stored(term_counts(rows), "terms"), rule)
     places = candidates.join(chosen, ["entity", "term"]).groupBy("rid", "start", "stop").agg(F.max("action").alias("action"))
     extra = places.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("extra"))  # of one document
     return found.drop("terms").join(extra, "rid", "left")

@@ -36,6 +36,7 @@ from tessera.llm.common import stored
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _PIECE = 1 << 15
 _GROUP = 1024
+BROADCAST_ROWS = 1_000_000  # of five numbers at most: under 100 MB
 
 
 @dataclass(frozen=True)
@@ -244,6 +245,11 @@ def _confirmer(near: Near) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if it is small: texts need not move then. Else it is shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def confirmed(docs: DataFrame, candidates: DataFrame, near: Near) -> DataFrame:
     """Edges (a, b) of exact similarity inside candidate groups. ``candidates``: node, first, root.
 
@@ -256,7 +262,7 @@ def confirmed(docs: DataFrame, candidates: DataFrame, near: Near) -> DataFrame:
     members = stored(members.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t"))
-    texts = rows.join(members, same).select("node", "root", "blocks", "mine", "text")
+    texts = rows.join(_small(members), same).select("node", "root", "blocks", "mine", "text")
     other = texts.select("node", "root", "mine", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
     dealt = other.select(key.alias("key"), "node", "text").repartition("key").sortWithinPartitions("key", "node")
@@ -288,16 +294,19 @@ def near_duplicates(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, near: Near = SIMILAR) -> DataFrame:
-    """The document of least id of each group of near-duplicates, columns unchanged. Texts are shuffled once."""
+    """The document of least id of each group of near-duplicates, columns unchanged.
+
+    Documents to drop are found as ids and hashes; texts are shuffled only where that list is too long to broadcast.
+    """
     found = stored(near_duplicates(docs, near).select("doc_id", "tie", "first_id", "first_tie"), "groups")
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
-    firsts = firsts.groupBy("doc_id", "tie").agg(F.count("*").alias("n"))
-    once = firsts.where("n = 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    counted = found.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.bool_or(is_first).alias("first"), F.count("*").alias("n"))
+    gone = stored(counted.where("not first or n > 1"), "gone")
     tie = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["__id"]) & (tie == k["__tie"])
-    kept = docs.join(once, same(once), "left_semi")
-    again = stored(firsts.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")), "again")
+    kept = docs.join(_small(gone), same(gone), "left_anti")
+    again = stored(gone.where("first"), "again")  # firsts that are there more than once
     if again.isEmpty():
         return kept
-    twins = docs.join(again, same(again), "left_semi")
+    twins = docs.join(_small(again), same(again), "left_semi")
     return kept.unionByName(twins.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).drop("__t"))

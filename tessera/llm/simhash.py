@@ -5,10 +5,10 @@ hashes have it set. Documents of equal fingerprint are one node. Two nodes are c
 
 * ``blocks``: five blocks of the 64 bits, a key for each pair of blocks. Fingerprints that differ in three bits or fewer
   agree in two blocks at least, so no link is lost.
-* ``anchors``: for wide radii, where blocks select nothing: bands of three least shingle hashes. What survives the radius
-  then is a candidate group only, and ``confirmed`` links its members by the exact similarity of their shingle sets.
+* ``anchors``: where a similarity is set: bands of three least shingle hashes. The nodes of a key are a candidate group
+  only, whatever their fingerprints, and ``confirmed`` links its members by the exact similarity of their shingle sets.
 
-Within a key, each node's distances to the reference fingerprints (the pivot table) are computed once; a pair whose
+Without a similarity, within a key, each node's distances to the reference fingerprints (the pivot table) are computed once; a pair whose
 distances to any reference differ by more than the radius is discarded by the triangle inequality, the others are
 verified bit by bit. A node that has been reached is not compared again, so a key with m near copies gives m - 1 edges and
 not all pairs. Components come from alternating large-star and small-star steps over the edges, as tables.
@@ -54,9 +54,8 @@ class Near:
 
 #: The contract: three-word shingles, 64 bits, three differing bits.
 CLOSE = Near()
-#: Five-word shingles, similarity 0.8: expected to differ in 39 of 256 bits; the radius adds nearly four deviations, and
-#: the exact similarity decides.
-SIMILAR = Near(shingle=5, words=4, radius=60, keys="anchors", similarity=0.8)
+#: Five-word shingles; the exact similarity of the sets decides, and no radius.
+SIMILAR = Near(shingle=5, words=4, keys="anchors", similarity=0.8)
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -250,8 +249,16 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """node, first, root of the nodes of every key that two or more have. Keys of the same nodes count once."""
+    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("root"), "node", "first")
+    who = F.xxhash64("node")
+    held = keyed.groupBy("root").agg(F.count("*").alias("m"), F.sum(who.cast("decimal(38,0)")).alias("s"), F.bit_xor(who).alias("x"))
+    return keyed.join(held.where("m > 1").groupBy("m", "s", "x").agg(F.min("root").alias("root")), "root").select("node", "first", "root")
+
+
 def confirmed(docs: DataFrame, candidates: DataFrame, near: Near) -> DataFrame:
-    """Edges (a, b) of exact similarity inside candidate groups. ``candidates``: node, first, root.
+    """Edges (a, b) of exact similarity inside candidate groups. ``candidates``: node, first, root; groups may overlap.
 
     One text for each node is read. A group beyond ``_GROUP`` nodes is cut into blocks and every pair of its blocks goes
     to a task of its own, so that memory is bounded and no pair of nodes is left out.
@@ -281,11 +288,12 @@ def near_duplicates(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
     rows = sketches(docs, near)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     nodes = stored(rows.groupBy("node").agg(first, F.min(F.struct("words", "keys")).alias("s")).select("node", "first", "s.*"), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "words").repartition("key").sortWithinPartitions("key")
-    edges = stored(keyed.mapInArrow(_linker(near), "a long, b long").distinct(), "links")
+    if near.similarity is None:
+        keyed = nodes.select(F.explode("keys").alias("key"), "node", "words").repartition("key").sortWithinPartitions("key")
+        edges = stored(keyed.mapInArrow(_linker(near), "a long, b long").distinct(), "links")
+    else:
+        edges = confirmed(docs, stored(shared_keys(nodes), "candidates"), near)
     labelled = _groups(nodes, edges)
-    if near.similarity is not None:
-        labelled = _groups(nodes, confirmed(docs, labelled, near))
     least = labelled.groupBy("root").agg(F.min("first").alias("of"))
     roots = labelled.join(least, "root").select("node", "of")
     return rows.select("doc_id", "tie", "node", "words").join(roots, "node").select(

@@ -133,3 +133,13 @@ def test_repeated_rows_null_ids_and_empty_tables(make):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "g h i j k l"), (4, "a b c d e f"), (8, "")]
     assert simhash.keep_one(docs.where("false")).count() == 0
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_similar_texts_that_repeat_a_line_differently_are_linked(make):
+    texts = []
+    for k in range(4):
+        body, line = words(400, 500 + k), words(12, 600 + k)
+        texts += [" ".join(body + line), " ".join(body + line * 10)]
+    for k in range(0, 8, 2):
+        assert jaccard(texts[k], texts[k + 1]) >= 0.95
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make(texts)).collect()) == [0, 2, 4, 6]

@@ -1,12 +1,13 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Words of the lower-cased text (A-Z only) form shingles; a bit of the fingerprint is 1 where more than half of the shingle
-hashes have it set. Documents of equal fingerprint are one node. Two nodes are compared only where they share a key:
+hashes have it set. Documents of equal fingerprint are one node; where a similarity is set, those of equal shingle sets are
+(by a hash of the sorted set), and there are no fingerprints. Two nodes are compared only where they share a key:
 
 * ``blocks``: five blocks of the 64 bits, a key for each pair of blocks. Fingerprints that differ in three bits or fewer
   agree in two blocks at least, so no link is lost.
 * ``anchors``: where a similarity is set: bands of three least shingle hashes. The nodes of a key are a candidate group
-  only, whatever their fingerprints, and ``confirmed`` links its members by the exact similarity of their shingle sets.
+  only, and ``confirmed`` links its members by the exact similarity of their shingle sets.
 
 Without a similarity, within a key, each node's distances to the reference fingerprints (the pivot table) are computed once; a pair whose
 distances to any reference differ by more than the radius is discarded by the triangle inequality, the others are
@@ -55,7 +56,7 @@ class Near:
 #: The contract: three-word shingles, 64 bits, three differing bits.
 CLOSE = Near()
 #: Five-word shingles; the exact similarity of the sets decides, and no radius.
-SIMILAR = Near(shingle=5, words=4, keys="anchors", similarity=0.8)
+SIMILAR = Near(shingle=5, keys="anchors", similarity=0.8)
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -111,19 +112,24 @@ def _sketcher(near: Near) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for text in batch.column(1):
                 text = text.as_py()
                 h = shingle_hashes(text, near.shingle)
-                fp = fingerprint(h, near.words)
-                node.append(int(fp[0]) if near.words == 1 else xxhash.xxh64_intdigest(fp.tobytes(), 1))
+                if near.similarity is None:
+                    fp = fingerprint(h, near.words)
+                    node.append(int(fp[0]) if near.words == 1 else xxhash.xxh64_intdigest(fp.tobytes(), 1))
+                else:
+                    h, fp = np.unique(h), np.array([], dtype=np.uint64)
+                    node.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
                 words.append(_signed(fp))
                 keys.append(_signed(_block_keys(int(fp[0])) if near.keys == "blocks" else _anchor_keys(h, odd, near.bands)))
                 ties.append(xxhash.xxh64_intdigest((text or "").encode(), 42))
             columns = [batch.column(0), _signed(ties), _signed(node), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], ["doc_id", "tie", "node", "words", "keys"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def sketches(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
-    """doc_id, tie (hash of the text), node, fingerprint words and keys of every document; written once."""
+    """doc_id, tie (hash of the text), node, fingerprint words (none with a similarity) and keys of every document; written once."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return stored(rows.mapInArrow(_sketcher(near), "doc_id long, tie long, node long, words array<long>, keys array<long>"), "sketch")
 
@@ -223,23 +229,23 @@ def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]
 
 
 def _confirmer(near: Near) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def edges(nodes: list[int], texts: list[str]) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, near.shingle)) for t in texts]
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         pairs = [(nodes[a], nodes[b]) for a, b in alike(sets, near.similarity)] if len(nodes) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, texts = None, [], []
+        now, nodes, sets = None, [], []
         for batch in batches:
-            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if key != now:
                     if nodes:
-                        yield edges(nodes, texts)
-                    now, nodes, texts = key, [], []
+                        yield edges(nodes, sets)
+                    now, nodes, sets = key, [], []
                 nodes.append(node)
-                texts.append(text)
+                sets.append(np.unique(shingle_hashes(text.as_py(), near.shingle)))  # one text is held, and not those of a batch
         if nodes:
-            yield edges(nodes, texts)
+            yield edges(nodes, sets)
+        pa.default_memory_pool().release_unused()
 
     return run
 

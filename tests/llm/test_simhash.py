@@ -143,3 +143,11 @@ def test_similar_texts_that_repeat_a_line_differently_are_linked(make):
     for k in range(0, 8, 2):
         assert jaccard(texts[k], texts[k + 1]) >= 0.95
     assert sorted(r["doc_id"] for r in simhash.keep_one(make(texts)).collect()) == [0, 2, 4, 6]
+
+
+def test_different_texts_that_share_a_frequent_line_both_stay(make):
+    line = words(11, 700) * 300
+    texts = [" ".join(words(4000, 701 + k) + line) for k in range(2)]
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    assert jaccard(*texts) < 0.01 and (simhash.fingerprint(hashes[0], 4) == simhash.fingerprint(hashes[1], 4)).all()
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make(texts)).collect()) == [0, 1]

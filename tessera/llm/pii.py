@@ -1,7 +1,8 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Each found value is a protected entity.
-Words within a few places of its mentions are candidate terms; over the whole corpus, p(e|t) is the share of a term's
+Words within a few places of its mentions are candidate terms, numbers and short words too, without the punctuation around
+them; over the whole corpus, p(e|t) is the share of a term's
 occurrences that lie near the entity and p(e) the share of all words that do. The term's pointwise mutual information with
 the entity, log p(e|t) / p(e), relative to the entity's own information, -log p(e), is its disclosure: 1 for a term that
 occurs nowhere else, 0 for an unrelated one. Terms above one threshold are generalised near the entity, above a higher one
@@ -107,7 +108,7 @@ def _terms(text: str, found: dict[str, list[Span]], reach: int) -> list[dict]:
             for a, b in near:
                 raw = text[a:b]
                 term = raw.strip(string.punctuation)
-                if len(term) >= 3 and not inside(a, b) and any(map(str.isalpha, term)):
+                if term and not inside(a, b):
                     terms.append((term, a + raw.index(term)))
             around = xxhash.xxh64_intdigest("\n".join(t for t, _ in terms).encode(), 1) - (1 << 63)
             entity = _entity(kind, text[s:e])

@@ -98,3 +98,12 @@ def test_sanitise_keeps_columns_and_follows_lengths(make):
             assert r["text"] == TEXTS[k]
     assert pii.sanitise(docs.where("false")).count() == 0
     assert pii.sanitise(make([TEXTS[len(ODD)]] * 3, ids=[None, 1, 1])).count() == 3
+
+
+def test_numbers_and_short_names_reveal_an_entity(make):
+    near = [f"we saw 84711 Bo jroe@mail.example {x} yesterday" for x in ("alpha", "beta", "gamma")]
+    texts = near + give_away()[4:]
+    out = {r["doc_id"]: r["extra"] for r in pii.find(make(texts), pii.Disclosure(generalise=0.8, remove=0.97)).collect()}
+    for k in range(3):
+        assert {texts[k][x["start"] : x["stop"]] for x in out[k]} == {"84711", "Bo"}
+    assert all(out[k] is None for k in range(3, len(texts)))

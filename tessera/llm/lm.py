@@ -1,185 +1,179 @@
 """Stupid-backoff language-model scores from the corpus's own counts.
 
 Model: bigrams over whole texts. A bigram seen twice or more scores its count over that of its first word; any other
-backs off to 0.4 times the frequency of its second word. Words that are rarer than one in a million share one symbol, so
-the vocabulary has a million entries at most, whatever the corpus, and its counts may be broadcast.
+backs off to 0.4 times the frequency of its second word. Every word has its own count, however rare it is.
 
-Bigrams are another matter: they grow with the corpus. Workers cut the documents into chunks of about a million words and
-emit their bigrams by hash part, one row for a chunk and a part, as packed five-byte keys. Each part counts its keys, joins
-the counts to the occurrences and sums per document; each chunk adds up what the parts say of its documents. There are
-never more rows than bigrams, and a bigram that every document has makes its part larger by one key a document only.
+Words and bigrams both grow with the corpus, so neither is broadcast. They are keys of 64 bits: a word is its hash, a bigram
+the mixed hashes of its two words (two of 10^9 different keys are equal with probability 0.03 in all). Workers cut the
+documents into chunks of about a million words, written once as the hashes of a chunk's words and the places where they
+stand. A chunk asks for the counts of its distinct keys, sorted, so that equal ranges of hashes are parts: one row for a chunk
+and a part. Each part adds up what all chunks have of a key and answers every chunk in its own order; each chunk joins the
+answers to its occurrences and sums per document. A key that every document has makes its part larger by one entry a chunk.
 
 Defined results: a null or empty text has no words, no score (null) and zero counts; repeated rows count and are scored
-one by one; an empty table gives no rows; other columns are not read.
+one by one; an empty table gives no rows; other columns are not read. A finite ``RAREST`` merges words rarer than one in
+so many into one symbol, which makes a smaller model; as it is set, no words are merged.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, words
 
 ALPHA = 0.4
 SEEN = 2
-RAREST = 1_000_000  # a word has an entry of its own if it makes up at least one in so many words
+RAREST = math.inf  # a word has an entry of its own if it makes up at least one in so many words
 PART = 3_000_000
-SLICE = 1 << 18
-HELD = 200_000
 CHUNK = 4096
 CHUNK_WORDS = 1 << 20
-_BITS = 20
-_WIDTH = 5
-UNKNOWN, START = 0, 1
-
-_EMITTED = {
-    "part": pa.int64(),
-    "chunk": pa.int64(),
-    "place": pa.list_(pa.int32()),
-    "sizes": pa.list_(pa.int32()),
-    "keys": pa.binary(),
-    "docs": pa.list_(pa.int64()),
-    "words": pa.list_(pa.int32()),
-}
-_SCORED = ("chunk", "place", "hits", "total", "docs", "words")
-
-
-@dataclass
-class Vocabulary:
-    ids: dict[bytes, int]
-    counts: np.ndarray  # by id
-    n_words: int
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts in part of the documents; what is held is bounded, the rest is added up after a shuffle."""
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["w", "n"])
-        held.clear()
-        return out
-
-    held: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            own = (text.as_py() or "").encode().split()
-            if own:
-                held.update(w.decode() for w in own)
-                held[""] += 1
-            if len(held) >= HELD:
-                yield flush()
-    if held:
-        yield flush()
-
-
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Unigram counts over all documents; the empty string stands for the start of a document that has words."""
-    partial = docs.select("text").mapInArrow(_word_counts, "w string, n long")
-    counts = stored(partial.groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
-    total = counts.where("w <> ''").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("n") >= max(1, -(-total // RAREST))) | (F.col("w") == "")).collect()  # RAREST + 1 rows at most
-    start = sum(r[1] for r in rows if r[0] == "")
-    named = sorted((r for r in rows if r[0]), key=lambda r: (-r[1], r[0]))
-    known = [r[1] for r in named]
-    return Vocabulary({r[0].encode(): k + 2 for k, r in enumerate(named)}, np.array([total - sum(known), start, *known], dtype=np.float64), total)
-
-
-def _emitter(shared, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+_START, _RARE = (np.uint64(xxhash.xxh64_intdigest(b, 42)) for b in (b"", b" "))  # no words: a word has no blank
+_CHUNK = {"chunk": pa.int64(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "vocab": pa.binary(), "at": pa.binary()}
+_CHUNK_DDL = "chunk long, docs array<long>, sizes array<int>, vocab binary, at binary"
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Bytes of equal rank together, compressed: most of the high ones are zero."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
+
+
+def _loosened(raw: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+def frequent(docs: DataFrame) -> np.ndarray | None:
+    """Sorted hashes of the words that stay apart under a finite ``RAREST`` (so many at most); None if all do."""
+    if RAREST == math.inf:
+        return None
+    counts = stored(docs.select(F.explode(words(docs["text"])).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "unigrams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(1, -(-total // RAREST))).select("w").collect()
+    return np.sort(np.array([_word_hash(r[0].encode()) for r in rows], dtype=np.uint64))
+
+
+def _chunker(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks: their documents, numbers of words, hashes of distinct words, and the place of each word in these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value.ids
+        own = None if shared is None else shared.value
         chunk = TaskContext.get().partitionId() << 33
 
-        def emit(docs: list, found: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in found])
-            second = np.concatenate(found) if found else np.array([], dtype=np.int64)
-            first = np.r_[0, second[:-1]] if len(second) else second
-            first[np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]] = START
-            keys = (first << _BITS) | second
-            part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((doc, part))
-            part, doc, raw = part[order], doc[order].astype(np.int32), keys.view(np.uint8).reshape(-1, 8)[order, :_WIDTH]
-            at = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                d = doc[at[p] : at[p + 1]]
-                told = p == chunk % parts  # one row of the chunk lists its documents
-                if len(d) or told:
-                    starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.array([], dtype=np.int64)
-                    n = np.diff(np.r_[starts, len(d)]).astype(np.int32)
-                    rows.append((p, chunk, d[starts], n, raw[at[p] : at[p + 1]].tobytes(), docs if told else None, sizes if told else None))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _EMITTED.values(), strict=True)], list(_EMITTED))
-
-        docs, found, held = [], [], 0
+        def emit() -> pa.RecordBatch:
+            vocab = np.fromiter(map(_word_hash, ids), dtype=np.uint64, count=len(ids))
+            if own is not None:
+                vocab = np.where(np.isin(vocab, own), vocab, _RARE)
+            at = np.concatenate(found)
+            row = (chunk, docs, [len(x) for x in found], vocab.tobytes(), _squeezed(at))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _CHUNK.values(), strict=True)], list(_CHUNK))
+
+        def fresh() -> defaultdict[bytes, int]:
+            new: defaultdict[bytes, int] = defaultdict()
+            new.default_factory = new.__len__
+            return new
+
+        ids, docs, found, held = fresh(), [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = (text.as_py() or "").encode().split()
+                each = (text.as_py() or "").encode().split()
                 docs.append(doc.as_py())
-                found.append(np.fromiter((ids.get(w, UNKNOWN) for w in own), dtype=np.int64, count=len(own)))
-                held += len(own)
+                found.append(np.fromiter(map(ids.__getitem__, each), dtype=np.uint32, count=len(each)))
+                held += len(each)
                 if len(docs) == CHUNK or held >= CHUNK_WORDS:
-                    yield emit(docs, found)
-                    docs, found, held, chunk = [], [], 0, chunk + 1
+                    yield emit()
+                    ids, docs, found, held, chunk = fresh(), [], [], 0, chunk + 1
         if docs:
-            yield emit(docs, found)
+            yield emit()
 
     return run
 
 
-def _scorer(shared) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
-        v = shared.value
-        raw = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.uint8).reshape(-1, _WIDTH)
-        keys = np.zeros((len(raw), 8), dtype=np.uint8)
-        keys[:, :_WIDTH] = raw
-        keys = keys.view("<i8").ravel()
-        own, counts = np.unique(keys, return_counts=True)
-        first, second = own >> _BITS, own & ((1 << _BITS) - 1)
-        seen = counts >= SEEN
-        score = np.where(seen, np.log(counts / v.counts[first]), math.log(ALPHA) + np.log(v.counts[second] / max(1, v.n_words)))
-        sizes = rows.column("sizes").combine_chunks()
-        n = sizes.flatten().to_numpy()
-        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        total, hits = np.zeros(len(n)), np.zeros(len(n))
-        for lo in range(0, len(keys), SLICE):  # the join of counts to occurrences, in slices that keep memory low
-            at = np.searchsorted(own, keys[lo : lo + SLICE])
-            d = doc[lo : lo + SLICE]
-            base = d[0]
-            total[base : d[-1] + 1] += np.bincount(d - base, weights=score[at])
-            hits[base : d[-1] + 1] += np.bincount(d - base, weights=seen[at])
-        hits = hits.astype(np.int32)
-        pa.default_memory_pool().release_unused()
-        as_lists = lambda x: pa.ListArray.from_arrays(sizes.offsets, pa.array(x))
-        columns = {c: rows.column(c) for c in ("chunk", "place", "docs", "words")}
-        return pa.table({"hits": as_lists(hits), "total": as_lists(total), **columns}).select(list(_SCORED))
+def _keys(sizes: np.ndarray, vocab: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the first word, the second word and the bigram at each word of a chunk."""
+    second = np.frombuffer(vocab, dtype=np.uint64)[_loosened(at, int(sizes.sum()), "<u4")]
+    first = np.r_[_START, second[:-1]] if len(second) else second
+    first[np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]] = _START
+    both = first * np.uint64(0x9E3779B97F4A7C15) + second
+    for _ in range(2):
+        both ^= both >> np.uint64(32)
+        both *= np.uint64(0xD6E8FEB86659FD93)
+    return first, second, both ^ (both >> np.uint64(32))
+
+
+def _asker(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one by one: a row is megabytes
+                (row,) = batch.slice(k, 1).to_pylist()
+                sizes = np.array(row["sizes"], dtype=np.int64)
+                first, second, both = _keys(sizes, row["vocab"], row["at"])
+                starts = np.full(np.count_nonzero(sizes), _START)
+                keys, n = np.unique(np.concatenate([second, starts, both]), return_counts=True)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # grows with the key
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                steps = np.r_[keys[:1], np.diff(keys)]  # shorter than keys
+                steps[cuts[:-1][cuts[:-1] < len(keys)]] = keys[cuts[:-1][cuts[:-1] < len(keys)]]
+                n = n.astype("<i4")
+                rows = [(p, row["chunk"], b - a, _squeezed(steps[a:b]), _squeezed(n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                if rows:
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["part", "chunk", "size", "keys", "n"])
 
     return run
 
 
-def _adder(rows: pa.Table) -> pa.Table:
-    """What all parts say of the documents of one chunk."""
-    flat = {c: rows.column(c).combine_chunks().flatten().to_numpy() for c in ("place", "hits", "total")}
-    docs, words = (rows.column(c).drop_null().combine_chunks().flatten() for c in ("docs", "words"))
-    hits, total = (np.bincount(flat["place"], weights=flat[c], minlength=len(docs)) for c in ("hits", "total"))
-    columns = [docs, words.cast(pa.int64()), pa.array(hits.astype(np.int64)), pa.array(total.astype(np.float64), mask=words.to_numpy() == 0)]
-    return pa.table(columns, names=["doc_id", "n_words", "n_seen", "log_score"])
+def _counter(rows: pa.Table) -> pa.Table:
+    """What all chunks have of the keys of one part, told to each chunk in the order of its own keys."""
+    sizes = rows.column("size").to_pylist()
+    asked, n = (zip(rows.column(c).to_pylist(), sizes, strict=True) for c in ("keys", "n"))
+    own, at = np.unique(np.concatenate([np.cumsum(_loosened(x, m, "<u8"), dtype=np.uint64) for x, m in asked]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([_loosened(x, m, "<i4") for x, m in n]), minlength=len(own)).astype("<i8")[at]
+    told = pa.array([_squeezed(x) for x in np.split(n, np.cumsum(sizes)[:-1])], pa.binary())
+    return pa.table({**{c: rows.column(c) for c in ("chunk", "part", "size")}, "n": told})
+
+
+def _scorer(n_words: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        (row,) = rows.filter(rows.column("part").is_null()).to_pylist()
+        told = rows.filter(rows.column("part").is_valid()).select(["part", "size", "n"]).sort_by("part").to_pylist()
+        counts = np.concatenate([np.zeros(0), *(_loosened(x["n"], x["size"], "<i8") for x in told)])
+        sizes = np.array(row["sizes"], dtype=np.int64)
+        first, second, both = _keys(sizes, row["vocab"], row["at"])
+        keys = np.unique(np.concatenate([second, first[first == _START], both]))
+        n_first, n_second, n_both = (counts[np.searchsorted(keys, x)] for x in (first, second, both))
+        seen = n_both >= SEEN
+        score = np.where(seen, np.log(n_both / n_first), math.log(ALPHA) + np.log(n_second / max(1, n_words)))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        hits, total = (np.bincount(doc, weights=x, minlength=len(sizes)) for x in (seen, score))
+        columns = [pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(hits.astype(np.int64)), pa.array(total, pa.float64(), mask=sizes == 0)]
+        return pa.table(columns, names=["doc_id", "n_words", "n_seen", "log_score"])
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_seen (bigrams that did not back off), log_score (natural) of every document."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    counted = vocabulary(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
-    parts = max(1, math.ceil(counted.n_words / PART))
-    lists = "docs array<long>, words array<int>"
-    emitted = rows.mapInArrow(_emitter(shared, parts), f"part long, chunk long, place array<int>, sizes array<int>, keys binary, {lists}")
-    scored = emitted.groupBy("part").applyInArrow(_scorer(shared), f"chunk long, place array<int>, hits array<int>, total array<double>, {lists}")
-    return scored.groupBy("chunk").applyInArrow(_adder, "doc_id long, n_words long, n_seen long, log_score double")
+    own = frequent(rows)
+    shared = None if own is None else docs.sparkSession.sparkContext.broadcast(own)
+    chunks = stored(rows.mapInArrow(_chunker(shared), _CHUNK_DDL), "chunks")
+    n_words = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    asked = chunks.mapInArrow(_asker(max(1, math.ceil(n_words / PART))), "part long, chunk long, size long, keys binary, n binary")
+    told = asked.groupBy("part").applyInArrow(_counter, "chunk long, part long, size long, n binary")
+    both = chunks.unionByName(told, allowMissingColumns=True)
+    return both.groupBy("chunk").applyInArrow(_scorer(n_words), "doc_id long, n_words long, n_seen long, log_score double")

@@ -44,3 +44,15 @@ def test_repeated_rows_and_empty_tables(make):
     rows = lm.score(docs).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"]) for r in rows) == [(0, 0), (1, 2), (1, 2)]
     assert lm.score(docs.where("false")).count() == 0
+
+
+def test_rare_words_of_a_large_corpus_keep_their_counts(make):
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(7_000)) for k in range(1, 301)] + ["rare1 w1 rare2", "rare3 w1 rare1"]
+    total = sum(len(t.split()) for t in texts)
+    counts = Counter(w for t in texts for w in t.split())
+    out = {r["doc_id"]: r for r in lm.score(make(texts)).where("doc_id >= 300").collect()}
+    two = Counter(p for t in texts for p in zip(t.split(), t.split()[1:]))
+    for k in (300, 301):
+        a, b, c = texts[k].split()
+        assert total > 2_000_000 and two[a, b] == two[b, c] == 1 and out[k]["n_seen"] == 0
+        assert out[k]["log_score"] == pytest.approx(sum(math.log(lm.ALPHA * counts[w] / total) for w in (a, b, c)))

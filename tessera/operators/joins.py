@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.frame import AnnotatedFrame
-from tessera.functions import geo, scalar
+from tessera.functions import geo, scalar, sphere
 from tessera.model.types import INTEGRAL, is_string
 from tessera.plans.step import Step, describe, input, output
 from tessera.validation import quoted
@@ -118,19 +119,33 @@ class JoinByTimestamp(Step):
         return df._with(joined, df.spec.merge(other.spec.drop([right]).renamed(names)).select(joined.columns))
 
 
-def interval_join(left: DataFrame, right: DataFrame, left_time: Column, right_time: Column, before: float, after: float, condition: Column | None = None) -> DataFrame:
+def interval_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_time: Column,
+    right_time: Column,
+    before: float,
+    after: float,
+    condition: Column | None = None,
+    cells: tuple[Column, Column] | None = None,
+) -> DataFrame:
     """Pairs with right_time in [left_time - before, left_time + after], times and widths in seconds as numbers.
 
     Time is cut into buckets as wide as the interval; a left row looks into the two buckets that its interval can touch,
     a right row sits in one. So this is an equi-join that shuffles by bucket, without pairs that are far apart.
+    ``cells`` adds space to the key: the cells a left row looks into (an array) and the one a right row sits in. The pairs
+    are then those whose cells meet as well, and one stretch of time is spread over as many keys as there are cells.
     """
     width = float(before + after) or 1.0
     bucket = lambda t: F.floor(t / F.lit(width))
     a = left.withColumn("__t1", left_time.cast("double")).withColumn("__b", F.explode(F.sequence(bucket(F.col("__t1") - before), bucket(F.col("__t1") + after))))
     b = right.withColumn("__t2", right_time.cast("double")).withColumn("__c", bucket(F.col("__t2")))
     exact = (F.col("__b") == F.col("__c")) & (F.col("__t1") - before <= F.col("__t2")) & (F.col("__t1") + after >= F.col("__t2"))
+    if cells is not None:
+        a, b = a.withColumn("__x", F.explode(cells[0])), b.withColumn("__y", cells[1])
+        exact = (F.col("__x") == F.col("__y")) & exact
     joined = a.join(b, exact if condition is None else exact & condition)
-    return joined.drop("__b", "__c", "__t1", "__t2")
+    return joined.drop("__b", "__c", "__t1", "__t2", "__x", "__y")
 
 
 class JoinByIntervalAndDistance(Step):
@@ -156,7 +171,11 @@ class JoinByIntervalAndDistance(Step):
         away = geo.great_circle_distance(l("lat"), l("lon"), e("lat"), e("lon"), self.radius)
         seconds = lambda c, kind: c.cast("double") if isinstance(kind, T.NumericType) else scalar.micros(c) / F.lit(1e6)
         t1, t2 = seconds(l("time"), df.dtype(mine("time"))), seconds(e("time"), other.dtype(theirs("time")))
-        near = interval_join(place, events, t1, t2, self.before, self.after, away <= F.lit(self.distance_km))
+        # An event looks for the positions around it, so positions, the larger side as a rule, are not multiplied.
+        chord = sphere.chord(self.distance_km / self.radius) + 1e-12
+        here, there = (sphere.vector(side("lat"), side("lon")) for side in (l, e))
+        cells = (sphere.around(there, chord), sphere.cube(here, chord)) if chord < 1 else None
+        near = interval_join(events, place, t2, t1, self.after, self.before, away <= F.lit(self.distance_km), cells)
         near = near.withColumns({self.get_name("delta_distance"): away, self.get_name("delta_time"): t2 - t1})
         on = [df.df[k].eqNullSafe(near[f"__l_{k}"]) for k in (*keys, mine("lat"), mine("lon"))]
         joined = df.df.join(near, on, "left").drop(*(c for c in near.columns if c.startswith("__l_")))
@@ -182,53 +201,52 @@ def nearest_distance(lat: Column, lon: Column, points: list[tuple[float, float]]
     return F.lit(2.0 * radius) * F.asin(F.when(half > 1, F.lit(1.0)).otherwise(half))
 
 
-def nearest_join(df: DataFrame, lat: str, lon: str, points: DataFrame, p_lat: str, p_lon: str, out: str, radius: float = geo.EARTH_RADIUS, cell: float = 1.0) -> DataFrame:
-    """Distance to the nearest of many points, by expanding rings of grid cells instead of all pairs.
+#: Edge from which on places are settled by pairs of cells, and the edge of these cells: at most some 5,000 on the sphere.
+_COARSE, _CELL = 1 / 8, 1 / 16
 
-    Positions and points are binned into cells of ``cell`` degrees. A ring of cells that is r cells away in latitude or
-    longitude cannot hold anything nearer than a bound that grows with r, so a position is done as soon as its best
-    distance is below the bound; only the others go on to the next, doubled ring. Positions share work by place: distinct
-    coordinates are joined once.
+
+def nearest_join(df: DataFrame, lat: str, lon: str, points: DataFrame, p_lat: str, p_lon: str, out: str, radius: float = geo.EARTH_RADIUS) -> DataFrame:
+    """Distance to the nearest of many points, without comparing all pairs.
+
+    Places and points are unit vectors in cubes of one edge, so neither poles nor the date line are special. A place looks
+    at the points of its own cube and of those around it: what lies elsewhere is farther than an edge away, so a shortest
+    chord within the edge is final. Places that are not settled go on with cubes twice as large. Those with nothing within
+    an eighth of the radius are settled by pairs of cells: a cell of points is of interest to a cell of places only if its
+    least possible distance does not exceed the least of all greatest possible ones. The number of cells does not depend on
+    the data, and every step is an equi-join. Distinct coordinates are joined once; a place without coordinates gets null.
     """
+    from tessera.operators.tables import written
+
     places = df.select(quoted(lat).cast("double").alias("__lat"), quoted(lon).cast("double").alias("__lon")).where("__lat is not null and __lon is not null").distinct()
     spots = points.select(quoted(p_lat).cast("double").alias("p_lat"), quoted(p_lon).cast("double").alias("p_lon")).where("p_lat is not null and p_lon is not null").distinct()
-    columns = int(round(360 / cell))
-    row = lambda c: F.floor((c + 90) / cell).cast("int")
-    col = lambda c: F.pmod(F.floor((c + 180) / cell).cast("int"), F.lit(columns))
-    spots = spots.withColumns({"row": row(F.col("p_lat")), "col": col(F.col("p_lon"))})
-    from tessera.operators.tables import kept
-
-    todo, done, reach = places, None, 1
-    while True:
-        last = reach * cell >= 180
-        if last:
-            near = todo.crossJoin(F.broadcast(spots)) if spots.count() <= 10_000 else todo.crossJoin(spots)  # what is left: polar or far from any point
-        else:
-            around = F.sequence(F.lit(-reach), F.lit(reach))
-            cells = todo.select("__lat", "__lon", F.explode(around).alias("dr")).select("__lat", "__lon", (row(F.col("__lat")) + F.col("dr")).alias("row"))
-            cells = cells.select("__lat", "__lon", "row", F.explode(around).alias("dc"))
-            cells = cells.select("__lat", "__lon", "row", F.pmod(col(F.col("__lon")) + F.col("dc"), F.lit(columns)).alias("col")).distinct()
-            near = cells.join(spots, ["row", "col"])
-        away = geo.great_circle_distance(F.col("__lat"), F.col("__lon"), F.col("p_lat"), F.col("p_lon"), radius)
-        best = near.groupBy("__lat", "__lon").agg(F.min(away).alias("__best"))
-        # Nothing outside of the ring is nearer than its edge: reach cells in latitude, in longitude at the far latitude.
-        edge = F.radians(F.least(F.lit(89.999), F.abs(F.col("__lat")) + reach * cell))
-        side = F.asin(F.least(F.lit(1.0), F.cos(edge) * F.sin(F.radians(F.lit(min(90.0, reach * cell))))))
-        bound = F.least(F.lit(radius) * F.radians(F.lit(reach * cell)), F.lit(radius) * side)
-        if last:
-            found = best
-            done = found if done is None else done.unionByName(found)
-            break
-        joined = kept(todo.join(best, ["__lat", "__lon"], "left"), "nearest")
-        sure = F.coalesce(F.col("__best") <= bound, F.lit(False))
-        found = joined.where(sure).select("__lat", "__lon", "__best")
-        done = found if done is None else done.unionByName(found)
-        todo = joined.where(~sure).select("__lat", "__lon")
-        if todo.isEmpty():
-            break
-        reach *= 4
+    spots = written(spots.withColumn("q", sphere.vector(F.col("p_lat"), F.col("p_lon"))), "points")
+    here, there = F.col("p"), F.col("q")
+    best = F.min(F.struct(sphere.square(here, there).alias("d"), "p_lat", "p_lon")).alias("best")
+    todo, done = places.withColumn("p", sphere.vector(F.col("__lat"), F.col("__lon"))), []
+    edge, left = max(1e-6, math.sqrt(4 * math.pi / max(1, spots.count()))), True
+    while edge <= _COARSE and left:
+        near = spots.withColumn("cell", F.explode(sphere.around(there, edge)))
+        found = todo.withColumn("cell", sphere.cube(here, edge)).join(near, "cell", "left").groupBy("__lat", "__lon").agg(F.first("p").alias("p"), best)
+        sure = F.coalesce(F.col("best.d") <= edge * edge, F.lit(False))
+        level = written(found.withColumn("sure", sure), "nearest")
+        done.append(level.where("sure").select("__lat", "__lon", "best"))
+        todo = level.where("not sure").select("__lat", "__lon", "p")
+        left, edge = not todo.isEmpty(), edge * 2
+    if left:
+        cell = lambda v: sphere.cube(v, _CELL)
+        mine, theirs = todo.withColumn("cell", cell(here)), spots.withColumn("cell_q", cell(there))
+        ours, all_ = mine.select("cell").distinct(), theirs.select("cell_q").distinct()
+        between = F.sqrt(sphere.square(sphere.centre("cell", _CELL), sphere.centre("cell_q", _CELL)))
+        pairs = ours.join(all_).withColumn("m", between)  # of cells, whose number is bounded
+        # A place and a point are at most half a diagonal each from their centres.
+        pairs = pairs.join(pairs.groupBy("cell").agg(F.min("m").alias("least")), "cell").where(F.col("m") <= F.col("least") + 2 * math.sqrt(3) * _CELL + 1e-9)
+        far = mine.join(pairs.select("cell", "cell_q"), "cell").join(theirs, "cell_q")
+        done.append(far.groupBy("__lat", "__lon").agg(best))
+    settled = reduce(DataFrame.unionByName, done)
+    away = geo.great_circle_distance(F.col("__lat"), F.col("__lon"), F.col("best.p_lat"), F.col("best.p_lon"), radius)
     same = quoted(lat).cast("double").eqNullSafe(F.col("__lat")) & quoted(lon).cast("double").eqNullSafe(F.col("__lon"))
-    return df.join(done, same, "left").drop("__lat", "__lon").withColumnRenamed("__best", out)
+    settled = settled.select("__lat", "__lon", away.alias("__best"))
+    return df.join(settled, same, "left").drop("__lat", "__lon").withColumnRenamed("__best", out)
 
 
 class NearestPoint(Step):

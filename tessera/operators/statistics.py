@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.validation import quoted
 
 
+#: Values that one task may order.
+MOST_SORTED = 1_000_000
+
+
+def quantile(df: DataFrame, column: str, p: float) -> float | None:
+    """The exact p-quantile (interpolated) of the present values, in bounded memory.
+
+    Approximate quantiles enclose the wanted rank; what lies below is counted and only what lies between is looked at
+    again, until few rows are left or all that are left are equal. Numbers alone reach the driver.
+    """
+    x = quoted(column).cast("double")
+    values = df.select(x.alias("x")).where("x is not null")
+    n = values.count()
+    if not n:
+        return None
+    at = p * (n - 1)
+    low, high = (_ranked(values, int(k), n) for k in (math.floor(at), math.ceil(at)))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _ranked(values: DataFrame, rank: int, n: int) -> float:
+    """The value at a place in the order, from 0. ``values``: n rows x."""
+    while n > MOST_SORTED:
+        share = rank / n
+        low, high = values.agg(F.percentile_approx("x", [max(0.0, share - 1e-3), min(1.0, share + 1e-3)], 10_000)).first()[0]
+        below, inside = values.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
+        if not below <= rank < below + inside:  # the estimate was off: the part that has the rank
+            values, rank, n = (values.where(F.col("x") < low), rank, below) if rank < below else (values.where(F.col("x") > high), rank - below - inside, n - below - inside)
+            continue
+        if low == high:
+            return low
+        if inside == n:  # many equal values at an end: leave them out
+            equal = values.agg(F.count_if(F.col("x") == low)).first()[0]
+            if rank < equal:
+                return low
+            values, rank, n = values.where(F.col("x") > low), rank - equal, n - equal
+            continue
+        values, rank, n = values.where(F.col("x").between(low, high)), rank - below, inside
+    return values.orderBy("x").offset(rank).limit(1).first()[0]
+
+
 def n_sigma(df: DataFrame, column: str, n: float) -> DataFrame:
     """Median plus n sample standard deviations, as one row ``n_sigma``."""
-    x = quoted(column)
-    return df.agg((F.median(x) + F.lit(float(n)) * F.stddev_samp(x)).alias("n_sigma"))
+    median = quantile(df, column, 0.5)
+    return df.agg((F.lit(median).cast("double") + F.lit(float(n)) * F.stddev_samp(quoted(column))).alias("n_sigma"))
 
 
 def n_sigma_limited(df: DataFrame, column: str, n: float, p: float = 0.99) -> DataFrame:
     """The same over the values strictly below the p-quantile (interpolated)."""
-    x = quoted(column)
-    limit = df.agg(F.percentile(x, F.lit(p)).alias("__limit"))  # one row
-    return n_sigma(df.join(F.broadcast(limit), x < F.col("__limit")), column, n)
+    return n_sigma(df.where(quoted(column) < F.lit(quantile(df, column, p)).cast("double")), column, n)
 
 
 def group_size(df: DataFrame, group: str) -> DataFrame:

@@ -383,7 +383,7 @@ def nearest_point(spark, sf_dir):
 
 @query(f"SELECT event_id, round(min({haversine('lat', 'lon', 'plat', 'plon')}), 6) AS distance FROM {EVENTS}, {_POINTS} GROUP BY event_id")
 def nearest_point_grid(spark, sf_dir):
-    made = joins.nearest_join(positions(spark, sf_dir).df, "lat", "lon", _points(spark, sf_dir), "plat", "plon", "distance", cell=15.0)
+    made = joins.nearest_join(positions(spark, sf_dir).df, "lat", "lon", _points(spark, sf_dir), "plat", "plon", "distance")
     return made.select("event_id", F.round("distance", 6).alias("distance"))
 
 

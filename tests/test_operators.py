@@ -10,7 +10,7 @@ from tessera.frame import AnnotatedFrame
 from tessera.functions import geo, scalar
 from tessera.model.spec import ColumnSpec, FrameSpec, Mode
 from tessera.operators import augment, filters, joins, sequences, statistics, timeseries, visual
-from tessera.operators.tables import kept
+from tessera.operators.tables import written
 
 
 def wrap(df, *specs):
@@ -211,7 +211,7 @@ def test_statistics(spark):
     pooled = statistics.pooled_stats(df, "x", "g").first()
     assert (pooled["mean"], pooled["stddev"]) == (pytest.approx(np.mean(x)), pytest.approx(s))
     assert sum(r["n"] for r in statistics.histogram(df, "x", 7, 0, 199).collect()) == 200
-    assert kept(df).count() == 200
+    assert written(df).count() == 200
 
 
 def test_pictures_pass_data_through(spark, tmp_path):

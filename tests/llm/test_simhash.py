@@ -82,13 +82,43 @@ def test_blocks_lose_no_link():
         assert set(simhash._block_keys(a)) & set(simhash._block_keys(b))
 
 
+def test_parts_of_crowded_keys_lose_no_link():
+    draw = random.Random(6)
+    for _ in range(300):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), 3):
+            b ^= 1 << bit
+        shared = set(simhash._block_keys(a)) & set(simhash._block_keys(b))
+        assert all(any(x == y for x, y in zip(simhash._free_parts(k, a), simhash._free_parts(k, b), strict=True)) for k in shared)
+
+
+def test_crowded_keys_give_the_same_components(make, monkeypatch):
+    docs = make([t for t in corpus() if t is None or len(t) < 10_000])
+    rows = lambda: sorted((r["doc_id"], r["first_id"]) for r in simhash.near_duplicates(docs).collect())
+    usual = rows()
+    monkeypatch.setattr(simhash, "CROWDED", 1)
+    assert rows() == usual
+
+
+def test_sets_of_the_wanted_similarity_are_within_the_radius():
+    draw, most = random.Random(8), 0
+    for n in (1, 5, 9, 40, 200):
+        for _ in range(100):
+            both = {draw.getrandbits(64) for _ in range(n)}
+            more = [{draw.getrandbits(64) for _ in range(n // 8)} for _ in range(2)]
+            fps = [simhash.fingerprint(np.array(sorted(both | m), dtype=np.uint64), 4) for m in more]
+            most = max(most, int(np.bitwise_count(fps[0] ^ fps[1]).sum()))
+    assert most <= simhash.SIMILAR.radius
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_linked_is_single_linkage(seed):
     draw = random.Random(seed)
     fps = [draw.getrandbits(64) for _ in range(20)]
     fps += [fps[k % 20] ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for k in range(60)]
     u = Union(len(fps))
-    edges = list(simhash.linked(np.array(fps, dtype=np.uint64)[:, None], simhash.CLOSE))
+    edges = list(simhash.linked(len(fps), simhash.Pivots(np.array(fps, dtype=np.uint64)[:, None], simhash.CLOSE).close))
     for a, b in edges:
         assert (fps[a] ^ fps[b]).bit_count() <= 3
         u.join(a, b)
@@ -112,7 +142,7 @@ def jaccard(a, b):
 
 
 def test_keep_one_of_each_exact_group(make, monkeypatch):
-    monkeypatch.setattr(simhash, "_GROUP", 16)  # so that groups are cut into blocks
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 8)  # so that groups are cut into blocks
     texts = [t for t in corpus() if t and len(t.split()) >= 5 and len(t) < 10_000]
     base = words(120, 99)
     for k in range(40):  # a large group whose members are near its first text, many not near each other
@@ -151,3 +181,14 @@ def test_different_texts_that_share_a_frequent_line_both_stay(make):
     hashes = [simhash.shingle_hashes(t, 5) for t in texts]
     assert jaccard(*texts) < 0.01 and (simhash.fingerprint(hashes[0], 4) == simhash.fingerprint(hashes[1], 4)).all()
     assert sorted(r["doc_id"] for r in simhash.keep_one(make(texts)).collect()) == [0, 1]
+
+
+def test_blocks_of_chains_are_compared_with_one_another(make, monkeypatch):
+    """Members of one band key that are no near copies of each other's representatives: only whole blocks find the links."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 2)
+    texts, base = [], words(60, 42)
+    for k in range(14):  # a chain: each differs from the next in a word, the ends in all of them
+        texts.append(" ".join(base))
+        base = [*base[:k], f"n{k}", *base[k + 1 :]]
+    expected = groups(len(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8, list(range(len(texts))))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make(texts)).collect()) == sorted(set(expected)) == [0]

@@ -7,7 +7,8 @@ type, so a step looks at types. Blocks of bounded size are packed apart from eac
 sequences a block and makes memory and time of a task independent of the input.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed one by one; an example beyond a
-limit raises; an empty table gives no rows; other columns of the examples are carried along.
+limit raises; an empty table gives no rows; a very long text is encoded word by word and its ids are held by one task;
+other columns of the examples are carried along.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.common import one_key, stored
-from tessera.llm.tokens import by_bytes
+from tessera.llm.tokens import LONG, REMEMBERED, by_bytes, joined
 
 END = 2
 BLOCK = 8192
-MEMORY = 1_000_000
+MEMORY = 1_000_000  # words that a worker remembers
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,8 @@ class Limits:
 
 #: A word of Latin letters with trailing marks: two pre-tokens at most, and lower case is the same in every library.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Where a long word without blanks is cut: no pre-token and no composed character reaches across.
+_fine = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[。，、；：！？])|(?<=[。，、；：！？])(?=\p{L})", regex.V1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,7 +63,8 @@ class Ids:
     A plain word goes straight to the vocabulary's merges, any other through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -71,7 +76,9 @@ class Ids:
         raw = self.cores.get(core)
         if raw is None:
             spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-            raw = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            raw = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(core) <= REMEMBERED:
+                self.cores[core] = raw
         return raw
 
     def _learn(self, new: set[str]) -> None:
@@ -89,28 +96,33 @@ class Ids:
 
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
+        for k, words in enumerate(cut):
+            if max(map(len, words)) > LONG:
+                cut[k] = [fine for w in words for fine in ([w] if len(w) <= LONG else joined(_fine.split(w), LONG))]
         known = self.known
         new = {w for words in cut for w in words if w not in known}
         if new:
             self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        if len(known) > MEMORY:
-            known.clear()
-        if len(self.cores) > MEMORY:
+        for w in [w for w in new if len(w) > REMEMBERED]:
+            del known[w]
+        if len(known) > self.memory:
+            self.known = {w: known[w] for words in cut for w in words if w in known}
+        if len(self.cores) > self.memory:
             self.cores.clear()
         return out
 
 
 @cache
-def _ids(path: str) -> Ids:
-    return Ids(path)
+def _ids(path: str, memory: int) -> Ids:
+    return Ids(path, memory)
 
 
-def _cutter(path: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(path: str, most: int, memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(path)
+        ids = _ids(path, memory)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -127,10 +139,14 @@ def _cutter(path: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def document_pieces(docs: DataFrame, path: str, most: int = 4096) -> DataFrame:
-    """Every document's ids and its end token, cut into pieces of ``most``; a first token bears no loss."""
+def document_pieces(docs: DataFrame, path: str, most: int = 4096, memory: int = MEMORY) -> DataFrame:
+    """Every document's ids and its end token, cut into pieces of ``most``; a first token bears no loss.
+
+    ``memory``: words a worker remembers, of about 200 bytes each. It keeps them for its next task, so a chain of stages
+    in one session takes a smaller number, at the price of encoding rare words more often.
+    """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(_cutter(path, most), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long")
+    return rows.mapInArrow(_cutter(path, most, memory), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long")
 
 
 def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:

@@ -1,12 +1,14 @@
 """Token counts: batch encoding in Arrow functions that returns lengths only.
 
 A text is cut before single spaces between two non-space characters. No pre-token of a byte-level vocabulary reaches
-across such a place and no special string holds a space, so lengths of the pieces add up to that of the text. Pieces that
-a worker has counted before come from its memory, which is bounded; the others are encoded in batches of bounded bytes,
-so neither many texts nor one very long text make a large call.
+across such a place and no special string holds a space, so lengths of the pieces add up to that of the text. A piece that
+is still long is cut further before other blanks and between letters and sentence marks, where no pre-token reaches across
+either. Short pieces that a worker has counted before come from its memory, which is bounded; the others are encoded in
+batches of bounded bytes. So neither many texts nor one very long text make a large call; only a single run of letters,
+digits or symbols does, which is one pre-token and has no safe boundary.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows are counted one by one; an empty table
-gives no rows; other columns are not read.
+gives no rows; a very long text is cut like any other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 BATCH_BYTES = 1 << 18
-MEMORY = 1_000_000
+MEMORY = 1_000_000  # pieces
+REMEMBERED, LONG = 64, 4096  # characters up to which a piece is remembered, and beyond which it is cut further
 
+_marks = ".,;:!?。，、；：！？"
+_fine = regex.compile(rf"(?<=\S)(?=\s)|(?<=\p{{L}})(?=[{_marks}])|(?<=[{_marks}])(?=\p{{L}})", regex.V1)
 _seams = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -40,8 +46,24 @@ def pieces(text: str) -> list[str]:
         return []
     parts = text.split(" ")
     if "" not in parts and all(p == p.strip() for p in parts):  # every space stands alone between non-spaces
-        return [parts[0], *map(" ".__add__, parts[1:])]
-    return _seams.split(text)
+        parts = [parts[0], *map(" ".__add__, parts[1:])]
+    else:
+        parts = _seams.split(text)
+    if max(map(len, parts)) > LONG:
+        parts = [fine for p in parts for fine in ([p] if len(p) <= LONG else joined(_fine.split(p), LONG))]
+    return parts
+
+
+def joined(parts: Iterable[str], most: int) -> Iterator[str]:
+    """Neighbours put together again up to ``most`` characters."""
+    held, size = [], 0
+    for p in parts:
+        if held and size + len(p) > most:
+            yield "".join(held)
+            held, size = [], 0
+        held.append(p)
+        size += len(p)
+    yield "".join(held)
 
 
 def by_bytes(items: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -59,7 +81,7 @@ def by_bytes(items: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[st
 
 
 class Lengths:
-    """Token counts of pieces, remembered within a worker."""
+    """Token counts of pieces; a worker remembers ``MEMORY`` short ones, and when these are too many, those of its last texts."""
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
@@ -72,8 +94,10 @@ class Lengths:
             for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
                 known[p] = len(e)
         out = [sum(map(known.__getitem__, parts)) for parts in cut]
-        if len(known) > MEMORY:  # a piece is a word with its punctuation: bounded memory, and the frequent ones soon return
-            known.clear()
+        for p in [p for p in new if len(p) > REMEMBERED]:
+            del known[p]
+        if len(known) > MEMORY:
+            self.known = {p: known[p] for parts in cut for p in parts if p in known}
         return out
 
 

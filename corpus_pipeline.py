@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place in it."""
-    return packing.pack(packing.document_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), packing.Limits())
+    return packing.pack(packing.document_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), memory=100_000), packing.Limits())
 
 
 STAGES = [

@@ -2,12 +2,16 @@
 
 Every document draws an exponential key from a hash of itself, divided by its quality weight; within a source, ascending
 keys are a weighted sample without replacement. A source first gives its complete epochs, then documents in key order
-until its budget is met. Keys fall into buckets, sums per bucket are prefix-summed, and only the one bucket of each
-source in which its budget ends is ordered document by document: a hot source is never sorted as a whole.
-
-Defined results: a null text has no words; a null source is a source, last in order; the document at which a budget ends
-is taken if that comes nearer to the target; equal keys are ordered by id and text; sources without words get nothing; an
-empty table gives no rows. Draws depend on id, text and seed only, so reruns agree.
+until its budget is met. Where the budget ends is found by prefix sums over ever finer ranges of the key's logarithm:
+sixteenths of an octave, thousandths of the one in which it ends, and so on, whatever the weights are. What is left after
+three levels is a 2**-24 part of an octave, and only its distinct documents are ordered: a hot source is never sorted.
+
+Defined results: a null text has no words; a null source is a source, last in order; a document is taken if that comes
+nearer to the target; equal keys are ordered by id and text; of rows equal in id and text as many are taken as come
+nearest; documents whose weight is not positive come last; sources without words get nothing; an empty table gives no
+rows; a very long text is one document like any other, however far it overshoots; other columns are not read by ``rows``
+and are carried along by ``apply``. Draws depend on id, text and seed only, so reruns agree. The plan of targets has one
+row a source and is made in one task: sources may be many, but not as many as documents.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD_SEPARATORS, let, stored
 
-BUCKETS = 16384
-STRIDE = 128
 MOST_EPOCHS = 3
+#: Bits of a key's place that each level of ranges looks at, after those above.
+LEVELS = (20, 10, 0)
+_OCTAVES, _STEPS = 512, 24  # logarithms from -512 to 512, in steps of 2**-24
 
 
 def size_in_words(text: Column) -> Column:
@@ -37,14 +42,15 @@ def quality_weight(text: Column) -> Column:
 
 
 def sampling_key(weight: Column, seed: int) -> Column:
-    """Exponential with rate ``weight``, drawn from id and text."""
+    """Exponential with rate ``weight``, drawn from id and text; infinite where the weight is not positive."""
     bits = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11)
-    return -F.log((bits + 0.5) / F.lit(float(2**53))) / weight
+    return F.when(weight > 0, -F.log((bits + 0.5) / F.lit(float(2**53))) / weight).otherwise(F.lit(float("inf")))
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    """Monotone in the key and even for weight 1."""
-    return F.least(F.floor((1 - F.exp(-key)) * buckets), F.lit(buckets - 1)).cast("int")
+def _place(key: Column) -> Column:
+    """A whole number that never falls as the key grows: its logarithm in steps."""
+    octave = F.least(F.greatest(F.log2(key), F.lit(-float(_OCTAVES))), F.lit(_OCTAVES - 2.0**-_STEPS))
+    return F.floor((octave + _OCTAVES) * F.lit(float(1 << _STEPS))).cast("long")
 
 
 def _with_weights(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -67,68 +73,89 @@ def _with_weights(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return out.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
 
+def _on_source(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` and, under the names that only it has, the plan of their source."""
+    other = plan.withColumnRenamed("source", "__plan_source")
+    return rows.join(other, rows["source"].eqNullSafe(other["__plan_source"]), how).drop("__plan_source")
+
+
 class Mix:
-    """The decision for a table of documents: ``rows`` per document, ``sources`` with thresholds to apply to texts."""
+    """The decision for a table of documents: ``rows`` per document, and ``plan``, per source, to apply to texts.
+
+    The plan has source, source_size, target, epochs, and ``last``: the document (key, doc_id, tie) at which the budget
+    ends, of whose ``held`` equal rows ``some`` are taken. Documents before it are taken, those after it are not.
+    """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), weight: Column | None = None, seed: int = 42, buckets: int = BUCKETS):
-        self.weight, self.seed, self.buckets = weight, seed, buckets
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), weight: Column | None = None, seed: int = 42):
+        self.weight, self.seed = weight, seed
         narrow = self._keyed(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text")))
+        narrow = narrow.withColumns({"place": _place(F.col("key")), "row": F.monotonically_increasing_id()})
         self.narrow = stored(narrow.drop("text"), "mix")
-        by_bucket = self.narrow.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-        sizes = by_bucket.groupBy("source").agg(F.sum("n").alias("source_size"))
-        plan = _with_weights(sizes, weights)
-        # The bucket in which the rest ends: first among sums of STRIDE buckets, then among the buckets of that one, so that
-        # no window has more rows of a source than the square root of its buckets.
-        sums = by_bucket.withColumn("stride", F.floor(F.col("bucket") / STRIDE).cast("int"))
-        coarse = self._crossing(sums.groupBy("source", "stride").agg(F.sum("n").alias("n")), "stride", plan.select("source", "rest"))
-        inside = sums.alias("b").join(coarse.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")) & (F.col("b.stride") == F.col("c.ends.stride")))
-        left = coarse.select("source", (F.col("rest") - F.col("ends.before")).alias("rest"), F.col("ends.before").alias("offset"))
-        fine = self._crossing(inside.select("b.source", "b.bucket", "b.n"), "bucket", left.select("source", "rest"))
-        ends = fine.alias("f").join(left.alias("l"), F.col("f.source").eqNullSafe(F.col("l.source")))
-        ends = ends.select("f.source", F.struct("f.ends.bucket", (F.col("f.ends.before") + F.col("offset")).alias("before")).alias("ends"))
-        joined = plan.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-        columns = [F.col(f"p.{c}") for c in ("source", "source_size", "target", "epochs", "rest")]
-        self.plan = stored(joined.select(*columns, F.coalesce("e.ends.bucket", F.lit(self.buckets)).alias("last_bucket"), F.coalesce("e.ends.before", F.lit(0)).alias("before")), "plan")
+        sizes = self.narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+        plan = stored(_with_weights(sizes, weights), "targets")
+        # rest: what is left of the budget at the start of the range; range: the upper bits of the places in it
+        inside, ends = self.narrow, None
+        for bits in LEVELS:
+            by_range = inside.groupBy("source", F.shiftright("place", bits).alias("range")).agg(F.sum("size").alias("n"))
+            budget = plan.select("source", "rest") if ends is None else ends.select("source", "rest")
+            ends = stored(self._crossing(by_range, ["range"], budget), "ends")
+            inside = _on_source(self.narrow, ends.select("source", "range")).where(F.shiftright("place", bits) == F.col("range")).drop("range")
+        equal = inside.groupBy("source", "key", "doc_id", "tie").agg(F.sum("size").alias("n"), F.count("*").alias("held"))
+        last = self._crossing(equal, ["key", "doc_id", "tie", "held"], ends.select("source", "rest"))
+        some = F.floor(F.col("rest") * F.col("held") / F.col("n") + 0.5)  # n / held is the size of one
+        last = last.select("source", F.struct("key", "doc_id", "tie").alias("last"), "held", some.alias("some"))
+        self.plan = stored(_on_source(plan, last, "left"), "plan")
 
     @staticmethod
-    def _crossing(sums: DataFrame, place: str, budget: DataFrame) -> DataFrame:
-        """source, rest, ends: the first place whose running sum exceeds the rest, with the sum before it."""
-        run = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = sums.withColumn("upto", F.sum("n").over(run)).alias("s").join(budget.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
-        over = upto.where("upto > rest").select("s.source", "rest", place, (F.col("upto") - F.col("n")).alias("before"))
-        return over.groupBy("source", "rest").agg(F.min_by(F.struct(place, "before"), place).alias("ends"))
+    def _crossing(sums: DataFrame, order: list[str], budget: DataFrame) -> DataFrame:
+        """source, the columns of ``order``, n and rest: the first row whose running sum exceeds the budget, and what is left before it."""
+        run = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = _on_source(sums.withColumn("upto", F.sum("n").over(run)), budget).where("upto > rest")
+        first = upto.groupBy("source").agg(F.min(F.struct(*order, "n", "upto", "rest")).alias("e"))
+        return first.select("source", *[f"e.{c}" for c in order], "e.n", (F.col("e.rest") - F.col("e.upto") + F.col("e.n")).alias("rest"))
 
     def _keyed(self, docs: DataFrame) -> DataFrame:
         weight = quality_weight(F.col("text")) if self.weight is None else self.weight
-        keyed = docs.withColumns({"size": size_in_words(F.col("text")), "key": sampling_key(weight, self.seed), "tie": F.xxhash64("text")})
-        return keyed.withColumn("bucket", _bucket(F.col("key"), self.buckets))
+        return docs.withColumns({"size": size_in_words(F.col("text")), "key": sampling_key(weight, self.seed), "tie": F.xxhash64("text")})
+
+    def _chosen(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their plan and ``chosen``: null for the equal rows of which some are taken."""
+        mine = F.struct("key", "doc_id", "tie")
+        edge = F.when(F.col("some") <= 0, False).when(F.col("some") >= F.col("held"), True)
+        chosen = F.when(F.col("last").isNull() | (mine > F.col("last")), False).when(mine < F.col("last"), True).otherwise(edge)
+        return _on_source(rows, self.plan).withColumn("chosen", chosen)
+
+    @staticmethod
+    def _some(equal: DataFrame) -> DataFrame:
+        """Rows on the edge, a stored table with a number ``row``: the first ``some`` of each source are chosen.
+
+        They are counted by the task that wrote them, so equal rows, however many, are not numbered in one task.
+        """
+        part = F.shiftright("row", 33)
+        before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = equal.groupBy("source", part.alias("part")).agg(F.count("*").alias("m"))
+        parts = parts.select("source", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+        inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("row"))
+        numbered = equal.withColumn("part", part).withColumn("inside", inside)
+        other = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), "before")
+        joined = numbered.join(other, numbered["source"].eqNullSafe(other["s"]) & (numbered["part"] == other["p"]))
+        return joined.withColumn("chosen", F.col("before") + F.col("inside") <= F.col("some")).drop("s", "p", "before", "part", "inside")
 
     def rows(self) -> DataFrame:
-        """doc_id, source, size, key, tie, source_size, target, taken: one row per document."""
-        joined = self.narrow.alias("d").join(self.plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        joined = joined.select("d.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.last_bucket", "p.before")
-        order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-        at_end = joined.where("bucket = last_bucket").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-        at_end = at_end.withColumn("chosen", F.col("start") + F.col("size") / 2 <= F.col("rest")).drop("start")
-        # Sums of halves are not monotone: a document after the first left out is left out as well.
-        out = F.coalesce(F.max(~F.col("chosen")).over(order), F.lit(False))
-        at_end = at_end.withColumn("chosen", F.col("chosen") & ~out)
-        rest = joined.where("bucket <> last_bucket").withColumn("chosen", F.col("bucket") < F.col("last_bucket"))
+        """doc_id, source, size, key, tie, source_size, target, epochs, chosen, taken: one row per document."""
+        rows = self._chosen(self.narrow)
+        whole = rows.where("chosen is not null").unionByName(self._some(rows.where("chosen is null")))
         taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))
-        return at_end.unionByName(rest).select("doc_id", "source", "size", "key", "tie", "source_size", "target", "epochs", "chosen", "bucket", "last_bucket", taken.alias("taken"))
+        return whole.select("doc_id", "source", "size", "key", "tie", "source_size", "target", "epochs", "chosen", taken.alias("taken"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """The mixed documents: each row as often as it is taken, columns unchanged. Texts are not shuffled.
-
-        Rows equal in id and text have one key and are taken alike.
-        """
-        last = self.rows().where("bucket = last_bucket and chosen").groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("last"))
-        plan = self.plan.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.source", "epochs", "last_bucket", "last")
-        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        keyed = self._keyed(whole.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text")))
-        joined = keyed.alias("d").join(stored(plan, "thresholds").alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        mine = F.struct("key", "doc_id", "tie")
-        chosen = (F.col("bucket") < F.col("last_bucket")) | F.coalesce((F.col("bucket") == F.col("last_bucket")) & (mine <= F.col("last")), F.lit(False))
-        copies = F.col("epochs") + chosen.cast("int")
-        repeated = joined.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        return repeated.select("row.*")
+        """The mixed documents: each row as often as it is taken, columns unchanged. Texts are not shuffled."""
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+        keyed = self._keyed(whole.select("whole", F.col("whole.doc_id").alias("doc_id"), F.col("whole.source").alias("source"), F.col("whole.text").alias("text")))
+        rows = self._chosen(keyed.drop("text"))
+        copies = rows.where("chosen is not null").select("whole", "epochs", "chosen")
+        if not self.plan.where("some > 0 and some < held").isEmpty():
+            edge = rows.where("chosen is null").withColumn("row", F.monotonically_increasing_id())
+            copies = copies.unionByName(self._some(stored(edge, "edge")).select("whole", "epochs", "chosen"))
+        copies = copies.withColumn("copies", F.col("epochs") + F.col("chosen").cast("int")).where("copies > 0")
+        return copies.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")

@@ -85,9 +85,61 @@ def test_odd_tables(make):
     assert mix.apply(docs).count() == 20
 
 
-def test_hot_source_is_not_one_window(make):
-    mix = mixing.Mix(make(TEXTS[10:], ["a"]))
-    ends = defaultdict(int)
+def brute_taken(rows):
+    """Words taken of each (source, document): complete epochs, then whole documents by ascending key up to the budget."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    out = Counter()
+    for source, own in by_source.items():
+        left = own[0]["target"] - own[0]["epochs"] * own[0]["source_size"]
+        for r in sorted(own, key=lambda r: (r["key"], r["doc_id"], r["tie"])):
+            once = left is not None and r["size"] / 2 <= left and left > 0
+            left = None if left is None or r["size"] > left else left - r["size"]
+            out[source, r["doc_id"], r["tie"]] += r["size"] * (r["epochs"] + once)
+    return +out
+
+
+def taken_of(rows):
+    out = Counter()
+    for r in rows:
+        out[r["source"], r["doc_id"], r["tie"]] += r["taken"]
+    return +out
+
+
+@pytest.mark.parametrize("scale", [0.01, 1.0, 100.0])
+def test_documents_are_those_of_the_smallest_keys(make, scale):
+    from pyspark.sql import functions as F
+
+    texts = TEXTS + [f"w{k % 7} " * 9 for k in range(300)]
+    ids = [*range(len(TEXTS)), *[10_000 + k % 7 for k in range(300)]]  # of the last ones many are equal rows
+    docs = make(texts, SOURCES, ids=ids)
+    weight = F.lit(scale) * F.when(F.length("text") % 3 == 0, F.lit(0.1)).otherwise(F.lit(1.0))
+    mix = mixing.Mix(docs, weight=weight)
+    rows = mix.rows().collect()
+    assert len(rows) == len(texts) and taken_of(rows) == brute_taken(rows)
+    assert Counter((r["source"], r["doc_id"]) for r in mix.apply(docs).collect() if n_words(r["text"])) == Counter(
+        (r["source"], r["doc_id"]) for r in rows if r["size"] for _ in range(r["taken"] // r["size"])
+    )
+
+
+def test_of_equal_rows_as_many_are_taken_as_needed(make):
+    """Two sources of weights 1 and 2 and one very often repeated row."""
+    docs = make(["a b"] * 30 + ["c d e"] * 5 + ["f g"] * 5, ["s"] * 30 + ["t"] * 10, ids=[1] * 30 + [2] * 5 + [3] * 5)
+    mix = mixing.Mix(docs)
+    taken = Counter()
     for r in mix.rows().collect():
-        ends[r["bucket"] == r["last_bucket"]] += 1
-    assert ends[True] < 20
+        taken[r["source"]] += r["taken"]
+    words = Counter()
+    for r in mix.apply(docs).collect():
+        words[r["source"]] += n_words(r["text"])
+    assert taken == words and abs(taken["s"] - 85 / 3) <= 1 and abs(taken["t"] - 170 / 3) <= 1.5
+
+
+def test_weights_that_are_not_positive_come_last(make):
+    from pyspark.sql import functions as F
+
+    docs = make([f"word{k} " * 10 for k in range(90)], ["s"] * 45 + ["t"] * 45)
+    weight = F.when(F.col("doc_id") % 3 == 0, F.lit(0.0)).when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.lit(1.0))
+    rows = [r for r in mixing.Mix(docs, weight=weight).rows().collect() if r["source"] == "s"]
+    assert {r["doc_id"] % 3 for r in rows if r["taken"] > r["epochs"] * r["size"]} >= {2} and taken_of(rows) == brute_taken(rows)

@@ -6,7 +6,8 @@ sample only the lowest bits are stored, packed. Chance agreement of those bits i
 
 Defined results: a text of fewer words than a shingle is one shingle; a text without words (null, empty) has the empty
 fingerprint, which is like itself (1.0) and unlike all others (0.0). Repeated rows and ties in id are ordered by the
-hash of their text. In an empty table there is nothing to order. Other columns are not read.
+hash of their text, null ids come first; ids are any 64-bit numbers. In an empty table there is nothing to order. A very
+long text is one row of one task, 8 bytes for each of its words. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, words
+from tessera.llm.common import let, stored, words
 
 SHINGLE = 5
 BINS = 128
@@ -103,37 +104,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias(id_col), packed(docs[text_col]).alias("fingerprint"))
 
 
-def _previous(buckets: DataFrame, block: int = 1024) -> DataFrame:
-    """For each bucket the one before it, for the first one the last: in blocks, so that no task holds all buckets."""
-    blocked = buckets.withColumn("block", F.floor(F.col("bucket") / block))
-    ends = blocked.groupBy("block").agg(F.max("bucket").alias("end"), F.lit(0).alias("all"))
-    over = Window.partitionBy("all").orderBy("block")
-    whole = Window.partitionBy("all").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("block", F.coalesce(F.lag("end").over(over), F.last("end").over(whole)).alias("end"))
-    inside = F.lag("bucket").over(Window.partitionBy("block").orderBy("bucket"))
-    return blocked.withColumn("inside", inside).join(ends, "block").select("bucket", "head_id", "head_tie", F.coalesce("inside", "end").alias("previous"))
+_KEY = ("has", "id", "tie")
+_COPIES = 1024
 
 
-def with_next(docs: DataFrame, rows_a_bucket: int = 128) -> DataFrame:
-    """Each document beside the next by id (after the last: the first), with the fingerprints of both.
+def _order(keyed: DataFrame) -> DataFrame:
+    """Distinct documents in order, without texts: their key, how often they are there (``held``), the fingerprint of each
+    and of the next one, and the key and length of the one before. The ends are joined to a ring.
 
-    Ids are cut into ranges of about ``rows_a_bucket`` rows. Texts are shuffled once, by range; the first row of each
-    range also goes to the range before it, so that the neighbour is always in the same window.
+    Ranges of keys are cut by Spark from a sample of them, so ids may lie anywhere and one id may be there very often.
+    Neighbours across two ranges come from a table of one row a range.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * rows_a_bucket // n) if n else 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("tie"))
-    heads = rows.select(bucket.alias("bucket"), key.alias("k")).groupBy("bucket").agg(F.min("k").alias("k"))
-    heads = _previous(heads.select("bucket", F.col("k.id").alias("head_id"), F.col("k.tie").alias("head_tie")))
-    made = rows.select("doc_id", "text", key["id"].alias("id"), key["tie"].alias("tie"), bucket.alias("bucket"))
-    own = made.select("bucket", "doc_id", "text", "id", "tie", F.lit(0).alias("copy"), packed(F.col("text")).alias("fp"))
-    first = made.join(heads.select("head_id", "head_tie", "previous"), (F.col("id") == F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
-    first = first.select(F.col("previous").alias("bucket"), "doc_id", "text", "id", "tie", F.lit(1).alias("copy"), packed(F.col("text")).alias("fp"))
-    order = Window.partitionBy("bucket").orderBy("copy", "id", "tie")
-    both = own.unionByName(first).withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)})
-    return both.where("copy = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
+    narrow = keyed.select(*_KEY, F.length("text").alias("n"), packed(F.col("text")).alias("fp"))
+    once = narrow.groupBy(*_KEY).agg(F.count("*").alias("held"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    ranged = stored(once.repartitionByRange(*_KEY).withColumn("part", F.spark_partition_id()), "order")
+    key = F.struct(*_KEY)
+    ends = ranged.groupBy("part").agg(F.min(F.struct(key.alias("k"), "fp")).alias("head"), F.max(F.struct(key.alias("k"), "n")).alias("tail"))
+    parts = Window.partitionBy(F.lit(0)).orderBy("part")
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(
+        "part",
+        F.coalesce(F.lead("head").over(parts), F.first("head").over(whole)).alias("head"),
+        F.coalesce(F.lag("tail").over(parts), F.last("tail").over(whole)).alias("tail"),
+    )
+    inside = Window.partitionBy("part").orderBy(*_KEY)
+    linked = ranged.withColumns({"next_fp": F.lead("fp").over(inside), "before": F.lag(F.struct(key.alias("k"), "n")).over(inside)})
+    linked = linked.join(ends, "part").withColumns({"next_fp": F.coalesce("next_fp", "head.fp"), "before": F.coalesce("before", "tail")})
+    return stored(linked.select(*_KEY, "held", "n", "fp", "next_fp", "before"), "links")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each document with the fingerprints of itself and of the next by id (after the last: the first), and ``next_head``:
+    as many first characters of the next one as are a quarter of its own.
+
+    Texts are shuffled once, by a hash of id and text, and their heads once more. Of equal rows one takes part, its copies
+    follow one another and so are next to themselves.
+    """
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    keyed = keyed.withColumns({"has": F.col("doc_id").isNotNull(), "id": F.coalesce("doc_id", F.lit(0)), "tie": F.xxhash64("text")})
+    order = _order(keyed)
+    twins = stored(order.where("held > 1").select(*_KEY), "twins")
+    several = not twins.isEmpty()
+    texts = keyed.select(*_KEY, "text")
+    if several:
+        listed = F.broadcast(twins) if twins.count() <= 1_000_000 else twins  # three numbers a row
+        one = texts.join(listed, [*_KEY], "left_semi").groupBy(*_KEY).agg(F.first("text").alias("text"))
+        texts = texts.join(listed, [*_KEY], "left_anti").unionByName(one)
+    placed = texts.join(order, [*_KEY])
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    heads = placed.select(*[F.col(f"before.k.{c}").alias(c) for c in _KEY], F.left("text", quarter(F.col("before.n"))).alias("next_head"))
+    rows = placed.join(heads, [*_KEY])
+    out = [F.when(F.col("has"), F.col("id")).alias("doc_id"), "text", "fp", "next_head", "next_fp"]
+    made = rows.select(*out)
+    if not several:
+        return made
+    own = {"next_head": F.left("text", quarter(F.col("n"))), "next_fp": F.col("fp")}
+    more = placed.where("held > 1").withColumns(own).withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("held") - 2) / _COPIES))))
+    each = F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("held") - 1 - F.col("lot") * _COPIES)))
+    return made.unionByName(more.repartition(*_KEY, "lot").select(*out, each.alias("copy")).drop("copy"))
 
 
 def edited(text: Column, other: Column) -> Column:

@@ -55,7 +55,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprint.with_next(_table(spark, sf_dir, "documents"))
-    pairs = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
+    pairs = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_head")))
     pairs = pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -114,11 +114,8 @@ ORACLE = {
         t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
         n AS (SELECT count(*) AS total FROM t),
         u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-        v AS (SELECT w, c FROM u, n WHERE c >= greatest(1, ceil(total / 1000000))),
-        k AS (SELECT t.doc_id, t.i, coalesce(v.w, '<rare>') AS w FROM t LEFT JOIN v USING (w)),
-        c1 AS (SELECT w, count(*) AS c FROM k GROUP BY w
-               UNION ALL SELECT '<start>', count(*) FROM d WHERE len(ws) > 0),
-        b AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<start>') AS a, w FROM k),
+        c1 AS (SELECT w, c FROM u UNION ALL SELECT '<start> ', count(*) FROM d WHERE len(ws) > 0),
+        b AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<start> ') AS a, w FROM t),
         c2 AS (SELECT a, w, count(*) AS c FROM b GROUP BY a, w),
         s AS (SELECT b.doc_id, (c2.c >= 2)::INT AS seen,
                      CASE WHEN c2.c >= 2 THEN ln(c2.c / x.c) ELSE ln(0.4) + ln(y.c / total) END AS score

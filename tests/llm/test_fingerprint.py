@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from llm_data import ODD
 from pyspark.sql import functions as F
 
@@ -47,26 +49,72 @@ def edited(text, other):
     return text[: len(text) - cut] + other[:cut]
 
 
+def brute(text):
+    """The stored samples of a text, bin by bin: least hash of each, empty bins filled along their own probing order."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [w[k : k + 5] for k in range(len(w) - 4)] if len(w) >= 5 else [[" ".join(w)]] if w else []
+    bins = {}
+    for s in shingles:
+        h = 42
+        for word in s:
+            h = xxhash.xxh64_intdigest(word.encode(), h)
+        h -= (h >> 63) << 64
+        bins[h >> 57] = min(bins.get(h >> 57, h), h)
+    if not bins:
+        return []
+    draw = random.Random(42)
+    starts, strides = [draw.randrange(128) for _ in range(128)], [2 * draw.randrange(64) + 1 for _ in range(128)]
+    orders = ([b, *((starts[b] + strides[b] * t) % 128 for t in range(128))] for b in range(128))
+    return [next(bins[j - 64] for j in order if j - 64 in bins) & 0xFF for order in orders]
+
+
+def brute_text(samples):
+    return "".join(f"{sum(v << 8 * k for k, v in enumerate(samples[q : q + 8])):016x}" for q in range(0, len(samples), 8))
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    share = sum(x == y for x, y in zip(a, b, strict=True)) / 128
+    return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+
+
+def check(rows, docs):
+    """``rows`` of the query against every document, its edited text and its neighbour."""
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, tie(d[1])))
+    expected = []
+    for k, (i, text) in enumerate(order):
+        other = order[(k + 1) % len(order)][1]
+        new = edited(text, other)
+        one, two, three = brute(text), brute(new), brute(other)
+        expected.append((i, len(text), hashlib.sha256(new.encode()).hexdigest(), brute_text(one), brute_text(two), round(brute_likeness(one, two), 9), round(brute_likeness(one, three), 9)))
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    found = [(*(r[n] for n in names), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows]
+    by = lambda x: (x[0] is not None, *x[1:], x[0] or 0)
+    assert sorted(found, key=by) == sorted(expected, key=by)
+
+
+def tie(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - ((h >> 63) << 64)
+
+
 def test_query_matches_brute_force(make, tmp_path, spark):
-    texts = [*ODD, *(" ".join(words(50 + 7 * k, k)) for k in range(300))]
-    ids = [7 * k + (k > 100) * 1000 for k in range(len(texts))]
+    texts = [*ODD, *(" ".join(words(50 + 7 * k, k)) for k in range(60))]
+    ids = [7 * k + (k > 40) * 1000 for k in range(len(texts))]
+    make(texts, ids=ids).write.parquet(str(tmp_path / "documents.parquet"))
+    check(op8_fingerprints(spark, str(tmp_path)).collect(), [(i, t or "") for i, t in zip(ids, texts, strict=True)])
+
+
+def test_any_ids_and_repeated_rows(make, tmp_path, spark, monkeypatch):
+    """Ids of hashes, one far away, one very often, and equal rows."""
+    monkeypatch.setattr(fingerprint, "_COPIES", 3)
+    draw = random.Random(4)
+    ids = [draw.getrandbits(64) - 2**63 for _ in range(30)] + [2**63 - 1, -(2**63), None, None, *range(20), *[5] * 40, *[77] * 11]
+    texts = [" ".join(words(20 + k, k)) for k in range(len(ids) - 11)] + ["one text there often, one text there often"] * 11
+    texts[31] = texts[33] = texts[32]
     make(texts, ids=ids).write.parquet(str(tmp_path / "documents.parquet"))
-    out = {r["doc_id"]: r for r in op8_fingerprints(spark, str(tmp_path)).collect()}
-    assert len(out) == len(texts)
-    for k, text in enumerate(texts):
-        text, other = text or "", texts[(k + 1) % len(texts)] or ""
-        r = out[ids[k]]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited(text, other).encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert out[ids[5]]["near_next"] == 1.0  # the repeated text
-    long = [r["near_edited"] for i, r in out.items() if i > 1000 + 700]
-    assert abs(sum(long) / len(long) - 0.59) < 0.08
-
-
-def test_repeated_and_null_ids(make):
-    docs = make(["a b c d e f", "a b c d e f", "g h i j k", "l m n"], ids=[None, 3, 3, 3])
-    rows = fingerprint.with_next(docs).collect()
-    assert len(rows) == 4 and all(r["next_text"] is not None for r in rows)
+    check(op8_fingerprints(spark, str(tmp_path)).collect(), list(zip(ids, texts, strict=True)))
 
 
 def test_empty_table(make):

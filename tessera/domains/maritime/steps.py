@@ -48,10 +48,13 @@ def cleanse_and_sanitise(
     status_column: str = "nav_status",
     fill: dict[str, object] | None = None,
     types: dict[str, str] | None = None,
-    drop_missing: Sequence[str] = ("mmsi",),
-    remove_source: str | None = "s",
+    drop_missing: Sequence[str] = (),
+    remove_source: str | None = "g",
 ) -> Pipeline:
-    """Position messages of one source and the given types, complete in the key columns, with an epoch timestamp."""
+    """Dated position messages of the given types that do not come from the ground, with an epoch timestamp.
+
+    ``types`` adds columns ``{column}_{type}``; ``drop_missing`` names further columns that must be there.
+    """
     p = Pipeline("cleanse_and_sanitise", "Clean position messages")
     if remove_source is not None:
         p.add("remove_source", RemoveValueRows(remove_source), {"x": "source"})
@@ -62,7 +65,7 @@ def cleanse_and_sanitise(
     for name, value in ({status_column: UNDEFINED_STATUS} | (fill or {})).items():
         p.add(f"fill_{name}", AddUndefinedValue(value), {"x": name})
     for name, kind in (types or {}).items():
-        p.add(f"type_{name}", ChangeTypeColumn(kind), {"x": name, "y": name})
+        p.add(f"type_{name}", ChangeTypeColumn(kind), {"x": name, "y": f"{name}_{kind}"})
     return p
 
 

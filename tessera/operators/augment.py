@@ -60,7 +60,7 @@ class ChangeTypeColumn(Step):
 
 
 class AddTimestamp(Step):
-    """Epoch seconds, with milliseconds, from date text or timestamps."""
+    """Epoch seconds, with milliseconds, from date text or timestamps; both fit, so the contract asks for neither type."""
 
     @describe("Seconds since 1970 from a date")
     @input({"from": {}})

@@ -237,7 +237,7 @@ def nearest_join(df: DataFrame, lat: str, lon: str, points: DataFrame, p_lat: st
         mine, theirs = todo.withColumn("cell", cell(here)), spots.withColumn("cell_q", cell(there))
         ours, all_ = mine.select("cell").distinct(), theirs.select("cell_q").distinct()
         between = F.sqrt(sphere.square(sphere.centre("cell", _CELL), sphere.centre("cell_q", _CELL)))
-        pairs = ours.join(all_).withColumn("m", between)  # of cells, whose number is bounded
+        pairs = ours.join(F.broadcast(all_)).withColumn("m", between)  # of cells: 40,000 cubes of this edge meet the sphere at most
         # A place and a point are at most half a diagonal each from their centres.
         pairs = pairs.join(pairs.groupBy("cell").agg(F.min("m").alias("least")), "cell").where(F.col("m") <= F.col("least") + 2 * math.sqrt(3) * _CELL + 1e-9)
         far = mine.join(pairs.select("cell", "cell_q"), "cell").join(theirs, "cell_q")
@@ -256,7 +256,7 @@ class NearestPoint(Step):
         self.dataset, self.columns, self.sep, self.earth_radius_in_km = dataset, list(columns), sep, earth_radius_in_km
 
     @describe("Distance to the nearest point")
-    @input({"x": {"unit": "deg"}, "y": {"unit": "deg"}})
+    @input({"x": {"unit": "deg", "representation_type": float}, "y": {"unit": "deg", "representation_type": float}})
     @output({"distance": {"unit": "km", "representation_type": float}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         data = self.dataset

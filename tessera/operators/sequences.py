@@ -34,9 +34,13 @@ def sequences(df: DataFrame, order: Sequence[str], features: Sequence[str], leng
 
 def random_sequences(df: DataFrame, group: str, order: Sequence[str], features: Sequence[str], length: int, horizon: int = 0, targets: Sequence[str] | None = None, batch: int = 64, seed: int = 0) -> DataFrame:
     """``batch`` random windows of random groups that are long enough; an error if there is none."""
-    found = sequences(df, order, features, length, horizon, targets, group)
-    key = F.xxhash64(quoted(group), F.col("start"), F.lit(seed))
-    picked = found.orderBy(key, quoted(group), "start").limit(batch)
+    # Keys are drawn from the sizes of the groups: ``batch`` of each group at most, then of all; only their groups get windows.
+    sizes = df.groupBy(quoted(group).alias("__g")).agg((F.count(F.lit(1)) - (length + horizon)).alias("__last")).where("__last >= 0")
+    keys = sizes.select("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))).alias("__start"))
+    keys = F.broadcast(keys.orderBy(F.xxhash64("__g", "__start", F.lit(seed)), "__g", "__start").limit(batch))  # ``batch`` rows
+    some = df.join(keys.select("__g").distinct(), quoted(group).eqNullSafe(F.col("__g")), "left_semi")
+    found = sequences(some, order, features, length, horizon, targets, group)
+    picked = found.join(keys, found[group].eqNullSafe(F.col("__g")) & (F.col("start") == F.col("__start")), "left_semi")
     if picked.isEmpty():
         raise RuntimeError(f"random_sequences: no group has {length + horizon} rows")
     return picked
@@ -105,6 +109,6 @@ def train_test_validate(df: DataFrame, group: str, ratios: Sequence[float] = (0.
 
 
 def shuffled(df: DataFrame, seed: int = 0, fraction: float = 1.0) -> DataFrame:
-    """Rows in a random order that depends on the seed; a fraction keeps about that share."""
+    """Rows in an order of hashes that depends on the seed and not on partitions; a fraction keeps about that share."""
     kept = df if fraction >= 1 else df.sample(fraction=fraction, seed=seed)
-    return kept.orderBy(F.rand(seed))
+    return kept.orderBy(F.xxhash64(*[quoted(c) for c in kept.columns], F.lit(seed)))

@@ -41,7 +41,7 @@ class AddLocalIndex(_Ordered):
         self.tie_breaker = list(tie_breaker or [])
 
     @describe("Index within each group")
-    @input({"group": {}, "sort": {}})
+    @input({"group": {"representation_type": int}, "sort": {}})
     @output({"local_index": {"representation_type": int}, "reverse_{{local_index}}": {"representation_type": int}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         index = F.row_number().over(self._window("sort")).cast("long") - 1
@@ -57,7 +57,7 @@ class AddDeltaTime(_Ordered):
         self.tie_breaker = list(tie_breaker or [])
 
     @describe("Time since the previous row")
-    @input({"group": {}, "time_column": {}})
+    @input({"group": {"representation_type": int}, "time_column": {}})
     @output({"delta_time": {"unit": "s", "representation_type": float}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         name = self.get_name("time_column")
@@ -80,7 +80,7 @@ class DeltaDistance(_Ordered):
         self.x_shift, self.y_shift, self.radius, self.tie_breaker = x_shift, y_shift, radius, list(tie_breaker or [])
 
     @describe("Distance from the previous row")
-    @input({"group": {}, "sort": {}, "x": {"unit": "deg"}, "y": {"unit": "deg"}})
+    @input({"group": {"representation_type": int}, "sort": {}, "x": {"unit": "deg"}, "y": {"unit": "deg"}})
     @output({"out": {"unit": "km", "representation_type": float}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         w, x, y, out = self._window("sort"), quoted(self.get_name("x")), quoted(self.get_name("y")), self.get_name("out")
@@ -101,7 +101,7 @@ class Heading(_Ordered):
         self.across_groups, self.tie_breaker = across_groups, list(tie_breaker or [])
 
     @describe("Course and its change")
-    @input({"group": {}, "sort": {}, "lat": {"unit": "deg"}, "lon": {"unit": "deg"}})
+    @input({"group": {"representation_type": int}, "sort": {}, "lat": {"unit": "deg"}, "lon": {"unit": "deg"}})
     @output({"heading": {"unit": "rad"}, "delta_heading": {"unit": "rad"}, "angular_velocity": {"unit": "rad / s"}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         w, lat, lon = self._window("sort"), quoted(self.get_name("lat")), quoted(self.get_name("lon"))
@@ -123,7 +123,7 @@ class AngularVelocity(_Ordered):
         self.tie_breaker = list(tie_breaker or [])
 
     @describe("Change of heading over time")
-    @input({"group": {}, "heading": {"unit": "rad"}, "time": {}})
+    @input({"group": {"representation_type": int}, "heading": {"unit": "rad"}, "time": {}})
     @output({"angular_velocity": {"unit": "rad / s"}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
         w, h, t = self._window("time"), quoted(self.get_name("heading")), _seconds(df, self.get_name("time"))

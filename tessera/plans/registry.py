@@ -145,9 +145,9 @@ def null_filter(spark, sf_dir):
     return filters.filter_by_expressions(e, ["value == null"]).select("event_id")
 
 
-@query("SELECT count(*)::BIGINT AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'")
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'")
 def datetime_filter(spark, sf_dir):
-    return filters.filter_by_expressions(table(spark, sf_dir, "events"), ["ts >= datetime(2024-01-10 00:00:00)"]).agg(F.count("*").alias("n"))
+    return filters.filter_by_expressions(table(spark, sf_dir, "events"), ["ts >= datetime(2024-01-10 00:00:00)"]).select("event_id")
 
 
 @query("SELECT mmsi FROM (SELECT o_orderkey * 60000 AS mmsi FROM orders) WHERE mmsi BETWEEN 200000000 AND 799999999")
@@ -420,7 +420,7 @@ def distinct_values(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS rows FROM lineitem")
 def row_count(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("rows"))
+    return spark.createDataFrame([(wrap(table(spark, sf_dir, "lineitem")).shape[0],)], "rows long")
 
 
 @query("SELECT round(median(value) + 3 * stddev_samp(value), 6) AS n_sigma FROM events")
@@ -550,13 +550,17 @@ def random_sequences(spark, sf_dir):
     return sequences.random_sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["value"], 5, 1, batch=32).select("user_id", "start", F.size("X").alias("length"))
 
 
-@query("SELECT count(DISTINCT user_id)::BIGINT AS n_groups, count(*)::BIGINT AS n_rows FROM events")
+@query("""WITH g AS (SELECT user_id, count(*)::BIGINT AS n_rows FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM g)
+       SELECT user_id, n_rows, 1::BIGINT AS n_parts, (SELECT round(n * 0.7)::BIGINT FROM n) AS n_train, (SELECT round(n * 0.2)::BIGINT FROM n) AS n_test FROM g""")
 def split_groups(spark, sf_dir):
-    """The parts are disjoint and complete: counts of groups and rows of all parts add up."""
+    """Each group with its rows: they are all in one part, and the parts have the sizes that the ratios ask for."""
     parts = sequences.split_groups(table(spark, sf_dir, "events"), "user_id", [0.7, 0.2, 0.1], seed=3)
-    each = [p.agg(F.countDistinct("user_id").alias("g"), F.count("*").alias("r")) for p in parts]
-    both = each[0].unionByName(each[1]).unionByName(each[2])
-    return both.agg(F.sum("g").alias("n_groups"), F.sum("r").alias("n_rows"))
+    both = [p.select("user_id", F.lit(k).alias("part")) for k, p in enumerate(parts)]
+    found = both[0].unionByName(both[1]).unionByName(both[2]).groupBy("user_id").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("part").alias("n_parts"), F.min("part").alias("part")
+    )
+    sizes = found.agg(F.count_if(F.col("part") == 0).alias("n_train"), F.count_if(F.col("part") == 1).alias("n_test"))  # one row
+    return found.join(F.broadcast(sizes)).drop("part")
 
 
 # -- sets, validation, pipelines -----------------------------------------------------------------------------------------
@@ -566,7 +570,9 @@ def split_groups(spark, sf_dir):
 def union_by_name(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("nation"))
     r = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("region"))
-    return n.unionByName(r, allowMissingColumns=True)
+    from tessera.sources.readers import united
+
+    return united([n, r])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_discount < 0.02 OR l_discount > 0.08 THEN -1.0::DOUBLE ELSE l_discount END AS l_discount

@@ -10,11 +10,17 @@ from tessera.validation import quoted
 
 # Texts that mean null.
 NULLS = ("None", "none", "Null", "null")
-_INTEGER, _FLOAT, _BOOLEAN = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(NaN|nan|inf|Infinity)\s*$", r"^\s*(true|false)\s*$"
+_INTEGER, _FLOAT, _BOOLEAN = r"^\s*[+-]?\d{1,19}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(NaN|nan|inf|Infinity)\s*$", r"^\s*(true|false)\s*$"
 
 
-def _raw(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    return spark.read.csv(paths, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=False, enforceSchema=False)
+def _raw(spark: SparkSession, paths: list[str], sep: str, multi_line: bool = False) -> DataFrame:
+    return spark.read.csv(paths, sep=sep, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+
+
+def quoted_breaks(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether a quoted value goes on in the next line: then some line has an odd number of quotes. One scan of the text."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(spark.read.text(paths).agg(F.bool_or(quotes % 2 == 1)).first()[0])
 
 
 def separator(spark: SparkSession, paths: list[str]) -> str:
@@ -25,8 +31,11 @@ def separator(spark: SparkSession, paths: list[str]) -> str:
 
 
 def read_csv(spark: SparkSession, paths: list[str], sep: str | None = None, infer: bool = True) -> DataFrame:
-    """Null spellings become null; then types: one aggregation over all rows decides for every column at once."""
-    raw = _raw(spark, paths, sep or separator(spark, paths))
+    """Null spellings become null; then types: one aggregation over all rows decides for every column at once.
+
+    A file is read in one piece only if it has line breaks inside of quotes; any other is split.
+    """
+    raw = _raw(spark, paths, sep or separator(spark, paths), quoted_breaks(spark, paths))
     clean = raw.select(*[F.when(~quoted(c).isin(*NULLS), quoted(c)).alias(c) for c in raw.columns])
     return with_types(clean) if infer else clean
 
@@ -36,7 +45,8 @@ def with_types(df: DataFrame) -> DataFrame:
     if not df.columns:
         return df
     fits = lambda c, pattern: F.coalesce(F.bool_and(quoted(c).rlike(pattern)), F.lit(False))
-    row = df.agg(*[F.struct(fits(c, _INTEGER).alias("i"), fits(c, _FLOAT).alias("f"), fits(c, _BOOLEAN).alias("b")).alias(f"c{k}") for k, c in enumerate(df.columns)]).first()
+    whole = lambda c: fits(c, _INTEGER) & F.coalesce(F.bool_and(F.trim(quoted(c)).try_cast("long").isNotNull() | quoted(c).isNull()), F.lit(False))
+    row = df.agg(*[F.struct(whole(c).alias("i"), fits(c, _FLOAT).alias("f"), fits(c, _BOOLEAN).alias("b")).alias(f"c{k}") for k, c in enumerate(df.columns)]).first()
 
     def typed(k: int, name: str) -> Column:
         kind = T.LongType() if row[k]["i"] else T.DoubleType() if row[k]["f"] else T.BooleanType() if row[k]["b"] else None

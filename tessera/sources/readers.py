@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,12 @@ def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.select(*[validation.quoted(c) for c in sorted(df.columns)])
 
 
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all frames, columns matched by name and in order of name, absent ones null."""
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return df.select(*[validation.quoted(c) for c in sorted(df.columns)])
+
+
 def read(spark: SparkSession, path: str | Path | Sequence[str | Path], sep: str | None = None) -> DataFrame:
     """Files of one kind as a DataFrame."""
     paths = [str(p) for p in (path if isinstance(path, (list, tuple)) else [path])]

@@ -151,6 +151,10 @@ def test_csv_nulls_quotes_and_separators(spark, tmp_path):
     assert values(csv.read_csv(spark, [str(b)]), "name") == ["plain", "x;y,z"]
     c = write(tmp_path / "c.csv", 'id,name\n1,"x;y,z"\n')
     assert csv.read_csv(spark, [str(c)]).first()["name"] == "x;y,z"
+    big = write(tmp_path / "big.csv", 'id;x;note\n9223372036854775807;9223372036854775808;"two\nlines; one ""cell"""\n9223372036854775806;1;plain\n')
+    df = csv.read_csv(spark, [str(big)])
+    assert values(df, "id") == [9223372036854775806, 9223372036854775807] and dict(df.dtypes)["x"] == "double"
+    assert values(df, "note") == ["plain", 'two\nlines; one "cell"']
     d = write(tmp_path / "d.csv", "f;b;e\n1.5;true;None\n2;false;null\n")
     assert [f.dataType.simpleString() for f in csv.read_csv(spark, [str(d)]).schema] == ["double", "boolean", "string"]
 

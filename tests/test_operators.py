@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -135,7 +136,7 @@ def test_nearest_points_by_grid_against_loops(spark):
     places = [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 80), rng.uniform(-180, 180, 80), strict=True)] + [(90.0, 0.0), (-90.0, 179.0), (0.0, 180.0), (None, 1.0)]
     df = spark.createDataFrame(places, "lat double, lon double")
     table = spark.createDataFrame(points, "a double, b double")
-    out = joins.nearest_join(df, "lat", "lon", table, "a", "b", "km", cell=5.0).collect()
+    out = joins.nearest_join(df, "lat", "lon", table, "a", "b", "km").collect()
     assert len(out) == len(places)
     for r in out:
         best = None if r["lat"] is None else min(haversine(r["lat"], r["lon"], a, b) for a, b in points)
@@ -227,9 +228,10 @@ def test_generator_and_domain_pipelines(spark):
     again = generator.positions(spark, 12, 10, 40, seed=4)
     assert messages.exceptAll(again).isEmpty() and messages.columns[:4] == ["mmsi", "lon", "lat", "date_time_utc"]
     specs = [ColumnSpec(c, unit="deg", representation_type=float) for c in ("lat", "lon")]
-    clean = cleanse_and_sanitise(types={"nav_status": "Int8"}).transform(wrap(messages, *specs))
-    assert clean.where("source = 's' or date_time_utc is null or nav_status is null").count() == 0
-    assert dict(clean.df.dtypes)["nav_status"] == "tinyint" and clean.spec["timestamp"].unit == "s"
+    clean = cleanse_and_sanitise(types={"nav_status": "Int8"}, drop_missing=["mmsi"]).transform(wrap(messages, *specs))
+    assert {r[0] for r in clean.select("source").distinct().collect()} == {"s"}
+    assert clean.where("date_time_utc is null or nav_status is null").count() == 0
+    assert dict(clean.df.dtypes)["nav_status_Int8"] == "tinyint" and clean.spec["timestamp"].unit == "s"
     types, fishing = generator.vessel_types(messages), generator.fishing_types(messages)
     out = data_processing(types, fishing, generator.anchorages(spark, 30)).transform(clean)
     rows = out.collect()
@@ -246,3 +248,27 @@ def test_maritime_constants():
     with pytest.raises(KeyError):
         data.vessel_type_id("submarine")
     assert len(data.NAVIGATION_STATUS) == 16 and all(s.value_range is not None for s in data.POSITION_SPECS)
+
+
+def test_nearest_points_of_places_anywhere(spark):
+    """Dense and lonely points, poles, the date line, antipodes and repeated places, against all pairs."""
+    draw = random.Random(3)
+    points = [(draw.uniform(50, 52), draw.uniform(3, 5)) for _ in range(600)] + [(90.0, 0.0), (-0.5, 179.99), (0.1, -179.98)]
+    places = [(draw.uniform(-90, 90), draw.uniform(-180, 180)) for _ in range(150)] + [(90.0, 77.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0), (51.0, 4.0), (51.0, 4.0), (None, 1.0)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "k long, lat double, lon double")
+    table = spark.createDataFrame(points, "a double, b double")
+    out = {r["k"]: r["d"] for r in joins.nearest_join(df, "lat", "lon", table, "a", "b", "d").collect()}
+
+    def away(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    assert len(out) == len(places) and out.pop(len(places) - 1) is None
+    for k, d in out.items():
+        assert d == pytest.approx(min(away(places[k], q) for q in points), abs=1e-6), places[k]
+
+
+def test_text_groups_do_not_pass_the_contract(spark):
+    f = wrap(spark.createDataFrame([("a", 1)], "g string, t long"))
+    with pytest.raises((RuntimeError, ValueError)):
+        timeseries.AddLocalIndex().map_names({"group": "g", "sort": "t"}).transform(f)

@@ -5,12 +5,13 @@ joined with itself, so a thread of depth d takes log2(d) rounds, and every round
 their tree by the mean score along the path, then each chosen path is expanded by the same tables and formatted as one
 conversation, first in runs of turns, then as a whole.
 
-Template: ``<|turn role|>text<|end|>\\n``. Inside roles and texts, ``\\`` is written ``\\\\`` and ``<`` is written ``\\l``, so
-a control string cannot occur in them and ``read_back`` restores every text. The loss mask covers assistant texts.
+Template: ``<|turn role|>text<|end|>\\n``. Inside roles and texts, ``\\`` is written ``\\\\`` and ``<`` is written ``\\l``, and
+inside roles ``|`` is written ``\\p``, so a control string cannot occur in them and ``read_back`` restores every role and
+text. The loss mask covers assistant texts.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role and text, null turns first;
 repeated rows are turns of their own; messages whose parent is missing are roots; messages on a cycle are on no path;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; very long texts are cells of one row, which is one conversation; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("|"), F.lit("\\p"))
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: {"l": "<"}.get(m[1], m[1]), text, flags=re.DOTALL) if "\\" in text else text
+    return re.sub(r"\\(.)", lambda m: {"l": "<", "p": "|"}.get(m[1], m[1]), text, flags=re.DOTALL) if "\\" in text else text
 
 
-_TURN = re.compile(r"<\|turn ([^<]*?)\|>([^<]*)<\|end\|>\n")
+_TURN = re.compile(r"<\|turn ([^<|]*)\|>([^<]*)<\|end\|>\n")
 
 
 def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -120,7 +125,7 @@ def _ranked(messages: DataFrame, leaves: DataFrame, tables: list[DataFrame], bes
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """tree, leaf, n_turns and ``formatted`` of each path. Runs of turns are joined first, then runs of one path."""
-    turn = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE), escape(F.col("text")), F.lit(END))
+    turn = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(CLOSE), escape(F.col("text")), F.lit(END))
     made = messages.select(F.col("tree").alias("t"), F.col("id").alias("k"), turn.alias("turn"))
     lines = chosen.join(made, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("k"))).select("tree", "leaf", (-F.col("depth")).alias("at"), "turn")
     in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "turn"))), lambda s: s["turn"]), "")

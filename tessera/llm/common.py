@@ -18,9 +18,12 @@ _stored: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. A temporary one only where that is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,10 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every stored table; call it once the results that use them have been written."""
-    while _stored:
-        spark, path = _stored.pop()
+def mark() -> int:
+    """A point in the order of stored tables, for ``release``."""
+    return len(_stored)
+
+
+def release(since: int = 0, until: int | None = None) -> None:
+    """Delete the stored tables written between two marks (by default all); call it once what uses them has been written."""
+    gone, _stored[since:until] = _stored[since:until], []
+    for spark, path in gone:
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

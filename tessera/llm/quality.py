@@ -1,10 +1,11 @@
 """Quality rules as a bitmask ledger, with DataFrame functions only.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one bit per failed rule, so a policy is
-a mask: applying it, comparing versions and ablating single rules are bitwise operations that never touch a text again.
+Every rule is evaluated once per document. The ledger, a stored table, keeps the measurements and one bit per failed rule,
+so a policy is a mask: applying it, comparing versions and ablating single rules are bitwise operations that never touch a
+text again.
 
 Defined results: a null or empty text has no words and all counts are 0; repeated rows are judged one by one; an empty
-table gives an empty ledger; other columns of the input, whatever their names, are not read.
+table gives an empty ledger; a very long text is one row, n log n in its words; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, words
+from tessera.llm.common import let, stored, words
 
 WINDOW = 3
 
@@ -115,6 +116,18 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return made.select(F.col("doc_id").alias(id_col), "e.m.*", "e.failures")
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger written once: what policies, their versions and ablations are derived from."""
+    return stored(ledger(docs), "ledger")
+
+
+def only_rule(failures: Column, policy: Policy) -> Column:
+    """The ablation of one document: the rule without which the policy would keep it; null if there is no such rule."""
+    failed = failures.bitwiseAND(F.lit(policy.mask))
+    alone = [F.when(failed.bitwiseAND(F.lit(BIT[r])) != 0, F.lit(r)) for r in policy.rules]
+    return F.when(F.bit_count(failed) == policy.at_least, F.coalesce(*alone) if policy.at_least == 1 else F.lit(None))
+
+
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
     """The ledger with ``kept``: false where the policy rejects."""
     return entries.withColumn("kept", ~policy.rejects(F.col("failures")))

@@ -28,10 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
+    entries = quality.apply_policy(quality.stored_ledger(_table(spark, sf_dir, "documents")), quality.POLICIES["v2"])
     base = quality.POLICIES["v1"].rejects(F.col("failures"))
+    alone = quality.only_rule(F.col("failures"), quality.POLICIES["v2"])
     return entries.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failures"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failures", alone.alias("only_rule")
     )
 
 
@@ -99,11 +100,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE = {
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+        t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+        r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                     coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM d LEFT JOIN r USING (doc_id)),
+        f AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, word_chars < 2 * n_words, word_chars > 15 * n_words,
+                         100 * n_symbols > 20 * n_words, 100 * n_dup_lines > 50 * n_lines] AS b FROM m),
+        x AS (SELECT *, list_sum(list_transform(b, lambda v, k: CASE WHEN v THEN 1 << (k - 1) ELSE 0 END))::BIGINT AS failures FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, n_lines, failures,
+               CASE WHEN bit_count(failures) = 1 THEN ['few_words', 'repeated_windows', 'short_words', 'long_words', 'symbols', 'repeated_lines'][list_position(b, true)] END AS only_rule
+        FROM x""",
     "op1_chat_formatting": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
                    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-        e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<', '\l')) + length(replace(replace(text, '\', '\\'), '<', '\l')) + 17 AS n FROM t)
+        e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\\'), '<', '\l')) + 17 AS n FROM t)
         SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -9,7 +9,7 @@ With ``epsilon=0`` the capacities add up to the rows: every shard is filled and
 ``epsilon`` moves fewer rows when shards are added, at the price of that balance.
 
 Defined results: null ids hash alike; repeated rows are placed one by one; a null text has no bytes; an empty table gives
-no rows. Slots that hold far more rows than others (one id very often) are ranked in salted parts.
+no rows; very long texts are read for their size and checksum only. Slots that hold far more rows than others (one id very often) are ranked in salted parts.
 """
 
 from __future__ import annotations
@@ -81,11 +81,12 @@ def assign(rows: DataFrame, key: Column, order: list[str], shards: int, epsilon:
     """``rows`` (narrow: it is stored once) with ``shard`` and ``slot``, the row's place in its shard from 0."""
     spark = rows.sparkSession
     given = list(rows.columns)
-    kept = stored(rows.withColumn("__h", F.xxhash64(key)).withColumn("__slot", F.shiftrightunsigned("__h", 64 - slot_bits).cast("int")), "ring")
+    hashed = rows.withColumn("__h", F.xxhash64(key)).withColumn("__slot", F.shiftrightunsigned("__h", 64 - slot_bits).cast("int"))
+    kept = stored(hashed.withColumn("__row", F.monotonically_increasing_id()), "ring")  # written: the salt is the same in every scan
     counts = {r[0]: r[1] for r in kept.groupBy("__slot").count().collect()}  # as many rows as slots at most
     usual = 1000 + 4 * sum(counts.values()) // max(1, len(counts))
     crowded = [s for s, n in counts.items() if n > usual]
-    salt = F.when(F.col("__slot").isin(crowded), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))) if crowded else F.lit(None).cast("long")
+    salt = F.when(F.col("__slot").isin(crowded), F.pmod("__row", F.lit(SALTS))) if crowded else F.lit(None).cast("long")
     kept = kept.withColumn("__salt", F.coalesce(salt, F.lit(0).cast("long")))
     inside = F.row_number().over(Window.partitionBy("__slot", "__salt").orderBy("__h", *order)).cast("long") - 1
     ranked = kept.withColumn("__rank", inside)

@@ -39,15 +39,20 @@ def test_conversations_read_back(spark):
     assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows} == brute(CONVERSATIONS)
 
 
-@given(st.lists(st.tuples(st.text("ab\\<|>\nlé", max_size=8), st.text("ab\\<|>\nl/endturn ", max_size=20)), max_size=5))
+@given(st.lists(st.tuples(st.text("ab\\<|>\nlép", max_size=8), st.text("ab\\<|>\nl/endturn p", max_size=20)), max_size=5))
 def test_round_trip(turns):
     escape = lambda s: s.replace("\\", "\\\\").replace("<", "\\l")
-    formatted = "".join(f"{chat.OPEN}{escape(r)}{chat.CLOSE}{escape(t)}{chat.END}" for r, t in turns)
-    if any("|>" in r for r, _ in turns):
-        return  # roles are taken from the data's own few names; a role with the closing mark is told apart below
+    role = lambda s: escape(s).replace("|", "\\p")
+    formatted = "".join(f"{chat.OPEN}{role(r)}{chat.CLOSE}{escape(t)}{chat.END}" for r, t in turns)
     assert [(r, t) for r, t, _, _ in chat.read_back(formatted)] == turns
 
 
+def test_roles_with_marks_come_back(spark):
+    rows = [(1, 0, "a|>b", "text"), (1, 1, "\\p|<", "|>")]
+    made = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()["formatted"]
+    assert [x[:2] for x in chat.read_back(made)] == [("a|>b", "text"), ("\\p|<", "|>")]
+
+
 def test_broken_output_is_an_error():
     with pytest.raises(ValueError, match="not a turn"):
         chat.read_back("<|turn user|>x<|end|>\nrest")

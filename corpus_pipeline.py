@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, packing, pii, quality, simhash
-from tessera.llm.common import stored
+from tessera.llm.common import mark, release, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder before the next one reads it."""
+    """All stages over documents; what a stage returns is written to the shared folder before the next one reads it.
+
+    Tables that a stage used are deleted as soon as its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(start, -1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -97,7 +97,7 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         for k, words in enumerate(cut):
-            if max(map(len, words)) > LONG:
+            if len(texts[k]) > LONG and max(map(len, words)) > LONG:
                 cut[k] = [fine for w in words for fine in ([w] if len(w) <= LONG else joined(_fine.split(w), LONG))]
         known = self.known
         new = {w for words in cut for w in words if w not in known}

@@ -49,7 +49,7 @@ def pieces(text: str) -> list[str]:
         parts = [parts[0], *map(" ".__add__, parts[1:])]
     else:
         parts = _seams.split(text)
-    if max(map(len, parts)) > LONG:
+    if len(text) > LONG and max(map(len, parts)) > LONG:
         parts = [fine for p in parts for fine in ([p] if len(p) <= LONG else joined(_fine.split(p), LONG))]
     return parts
 

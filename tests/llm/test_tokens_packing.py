@@ -48,7 +48,7 @@ def test_pieces_are_safe(text):
 @settings(max_examples=150, deadline=None)
 @given(_chars)
 def test_ids_of_words_are_ids_of_the_text(text):
-    ids = packing._ids(WORDS)
+    ids = packing._ids(WORDS, packing.MEMORY)
     expected = ids.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids.of([text])[0], dtype="<u4").tolist() == expected
     assert np.frombuffer(ids.of([text])[0], dtype="<u4").tolist() == expected  # from memory
@@ -102,3 +102,18 @@ def test_other_columns_and_empty_tables(spark, make):
     assert packing.pack(rows.where("false"), packing.Limits()).count() == 0
     assert packing.pack(packing.document_pieces(make(TEXTS).where("false"), WORDS), packing.Limits()).count() == 0
     assert pa.array([1]).to_pylist() == [1]
+
+
+_long = st.lists(st.sampled_from(["a", "bc", "É", "漢字", "。", "，", ".", ",", "'s", "<|endoftext|>", " ", "\n", "\t", "\r\n", "1", "!", "🙂", "_", "Σ", "|", ">", "　"]), max_size=60).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_long)
+def test_long_pieces_are_cut_where_nothing_reaches_across(text):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "LONG", 8)
+        m.setattr(packing, "LONG", 8)
+        one, many = tokens._tokenizer(BYTES), packing._ids(WORDS, packing.MEMORY)
+        assert "".join(tokens.pieces(text)) == text
+        assert sum(len(one.encode(p, add_special_tokens=False)) for p in tokens.pieces(text)) == len(one.encode(text, add_special_tokens=False))
+        assert np.frombuffer(many.of([text])[0], dtype="<u4").tolist() == many.tokenizer.encode(text, add_special_tokens=False).ids

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -147,6 +148,25 @@ class AnnotatedFrame:
         condition = [self._df[a] == right[b] for a, b in zip(left_on, keys, strict=True)]
         return self._df.join(right, condition, how).drop(*keys)
 
+    def join_where(self, other: AnnotatedFrame | DataFrame, *predicates: Column, within: tuple[str, str, float, float] | None = None, suffix: str = "_right") -> DataFrame:
+        """Pairs for which every predicate holds; right columns that clash get a suffix, and predicates name columns of the result.
+
+        Spark makes an equi-join of predicates with an equality. For ranges alone it would compare all pairs:
+        ``within=(left, right, before, after)`` keeps pairs with right in [left - before, left + after], as an equi-join on buckets.
+        """
+        from tessera.operators.joins import interval_join
+
+        if not predicates and within is None:
+            raise ValueError("AnnotatedFrame: join_where needs a predicate")
+        theirs = other.df if isinstance(other, AnnotatedFrame) else other
+        right = theirs.select(*[validation.quoted(c).alias(c + suffix if c in self._df.columns else c) for c in theirs.columns])
+        condition = reduce(Column.__and__, predicates) if predicates else None
+        if within is None:
+            return self._df.join(right, condition)
+        left_on, right_on, before, after = within
+        key = right_on + suffix if right_on in self._df.columns else right_on
+        return interval_join(self._df, right, validation.quoted(left_on), validation.quoted(key), before, after, condition)
+
     def validate(self, mode: Mode = Mode.READONLY, **options: bool) -> AnnotatedFrame:
         return self._with(*validation.apply(self._df, self.spec, mode, **options))
 

@@ -225,8 +225,12 @@ class Pipeline(Step):
 
     # -- running -------------------------------------------------------------------------------------------------------
 
-    def transform(self, df: AnnotatedFrame, **others: AnnotatedFrame) -> AnnotatedFrame:
-        """Run all steps as one lazy plan."""
+    def transform(self, df: AnnotatedFrame, verbose: bool = False, **others: AnnotatedFrame) -> AnnotatedFrame:
+        """Run all steps as one lazy plan.
+
+        ``verbose`` shows a row of every step's result. Each is a job of its own, and an observation would end with the first
+        of them, so rows are not counted then.
+        """
         own = self.prepare(df, **others)
         frames: dict[str, AnnotatedFrame] = {MAIN: df} | {k: v for k, v in others.items() if isinstance(v, AnnotatedFrame)}
         self.stats = []
@@ -240,8 +244,11 @@ class Pipeline(Step):
                 result = node.step.transform(**inputs)
             except Exception as e:
                 raise RuntimeError(f"Pipeline '{self.name}': step {number} '{node.name}' ({type(node.step).__name__}): {e}") from e
+            if verbose:
+                print(f"{self.name}: {node.name}")
+                result.df.show(1)
             observed = None
-            if self.observe:
+            if self.observe and not verbose:
                 observed = Observation(f"{self.name}-{node.name}")
                 result = result._with(result.df.observe(observed, F.count(F.lit(1)).alias("rows")), result.spec)
             frames[node.name] = result

@@ -238,3 +238,19 @@ def test_archives(tmp_path):
         pass
     with pytest.raises(FileNotFoundError), archive.expanded([tmp_path / "none.zip"]):
         pass
+
+
+def test_join_where_against_loops(spark):
+    mine, theirs = [(k, k % 3, k * 7 % 23) for k in range(40)], [(k, k % 4, k * 5 % 29) for k in range(30)]
+    left, right = spark.createDataFrame(mine, "a long, g long, t long"), spark.createDataFrame(theirs, "b long, g long, t long")
+    frame = AnnotatedFrame(left, FrameSpec(), Mode.IGNORE)
+    pairs = lambda keep: sorted((*m, *o) for m in mine for o in theirs if keep(m, o))
+    equal = frame.join_where(right, F.col("g") == F.col("g_right"), F.col("t") < F.col("t_right"))
+    assert equal.columns == ["a", "g", "t", "b", "g_right", "t_right"]
+    assert sorted(map(tuple, equal.collect())) == pairs(lambda m, o: m[1] == o[1] and m[2] < o[2])
+    near = frame.join_where(right, F.col("a") != F.col("b"), within=("t", "t", 2, 1))
+    assert sorted(map(tuple, near.collect())) == pairs(lambda m, o: m[0] != o[0] and m[2] - 2 <= o[2] <= m[2] + 1)
+    assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, frame.join_where(right, within=("t", "t", 0, 0)).collect())) == pairs(lambda m, o: m[2] == o[2])
+    with pytest.raises(ValueError, match="needs a predicate"):
+        frame.join_where(right)

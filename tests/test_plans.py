@@ -256,3 +256,15 @@ def test_one_exchange_for_a_group(spark):
     p = Pipeline("w", validation="off").add("a", AddDeltaTime(), {"group": "x", "time_column": "t", "delta_time": "d1"}).add("b", AddDeltaTime(), {"group": "x", "time_column": "t"})
     plan = p.transform(f).df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_verbose_shows_a_row_of_every_step(spark, capsys):
+    frame = AnnotatedFrame(spark.createDataFrame([(1,), (2,)], "x long"), FrameSpec([ColumnSpec("x", unit="m")]))
+    pipeline = Pipeline("shown", observe=True).add("one", Add(10)).add("two", Add(20))
+    out = pipeline.transform(frame, verbose=True)
+    said = capsys.readouterr().out
+    assert said.index("shown: one") < said.index("|  1| 11|") < said.index("shown: two") < said.index("|  1| 21|")
+    assert "only showing top 1 row" in said and [s.rows for s in pipeline.stats] == [None, None]
+    assert sorted(map(tuple, out.df.collect())) == [(1, 21), (2, 22)]
+    pipeline.transform(frame).df.collect()
+    assert capsys.readouterr().out == "" and [s.rows for s in pipeline.stats] == [2, 2]

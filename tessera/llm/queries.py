@@ -99,6 +99,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+#: Pattern and test (over the match v and its digits) of each kind of personal data, in the order of the contract.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999))) <= 255"),
+    "card": (
+        r"[0-9]([\x20-]?[0-9])+",
+        """length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(list_reverse(string_split(digits, '')),
+           lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0""",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15"),
+}
+
+
+def _placed(pattern: str, table: str, more: str = "") -> str:
+    """SQL for the matches v of a pattern in the texts of a table, with start s and end e in code points."""
+    cut = f"SELECT rid, regexp_extract_all(text, '{pattern}') AS vs, regexp_split_to_array(text, '{pattern}') AS gaps FROM {table}"
+    each = f"SELECT rid, unnest(vs) AS v, unnest(gaps[:len(vs)]) AS gap, generate_subscripts(vs, 1) AS i FROM ({cut})"
+    ends = f"SELECT rid, i, v, sum(length(gap) + length(v)) OVER (PARTITION BY rid ORDER BY i) AS e FROM ({each})"
+    return f"SELECT rid, v, i, e - length(v) AS s, e{more} FROM ({ends})"
+
+
+def pii_sql(rule: pii.Disclosure = pii.Disclosure()) -> str:
+    """The whole result of ``op5_pii``: base spans by the patterns, disclosed terms by counting."""
+    digits = ", regexp_replace(v, '[^0-9]', '', 'g') AS digits"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, '{kind}' AS kind, s, e, v, digits FROM ({_placed(pattern, 'd', digits)}) WHERE {test}" for k, (kind, (pattern, test)) in enumerate(_KINDS.items())
+    )
+    bare = r"regexp_replace(v, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')"
+    z, z2 = rule.z, rule.z**2
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        b AS (SELECT *, kind || ':' || CASE k WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE digits END AS entity FROM ({found})),
+        base AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS base, count(*) FILTER (k = 0) AS n_email,
+                        count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone FROM b GROUP BY rid),
+        own AS (SELECT * FROM d WHERE rid IN (SELECT rid FROM b)),
+        w AS (SELECT *, {bare} AS term FROM ({_placed(r"[^\x20\x09-\x0D]+", "own")})),
+        free AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s) - 1 AS place FROM w ANTI JOIN b ON w.rid = b.rid AND b.s < w.e AND b.e > w.s),
+        m AS (SELECT b.rid, b.entity, b.k, b.s, count(free.s) FILTER (free.s < b.s) AS lo, count(free.s) FILTER (free.s < b.e) AS hi
+              FROM b LEFT JOIN free USING (rid) GROUP BY b.rid, b.entity, b.k, b.s),
+        near AS (SELECT m.rid, m.entity, m.k, m.s, list(term ORDER BY place) AS around
+                 FROM m JOIN free ON free.rid = m.rid AND place >= lo - {rule.reach} AND place < hi + {rule.reach} AND term <> '' GROUP BY m.rid, m.entity, m.k, m.s),
+        x AS (SELECT rid, entity, around, unnest(around) AS term FROM near),
+        n AS (SELECT term, sum(n) AS n FROM (SELECT {bare} AS term, n FROM (SELECT v, count(*) AS n FROM (SELECT unnest({_WORDS}) AS v FROM d) GROUP BY v)) GROUP BY term),
+        pairs AS (SELECT entity, term, count(DISTINCT around) AS support, count(*) AS together FROM x GROUP BY entity, term),
+        y AS (SELECT *, together / greatest(together, coalesce(n.n, 0)) AS p, support / p AS o FROM pairs LEFT JOIN n USING (term)),
+        chosen AS (SELECT entity, term FROM y WHERE (p + {z2} / 2 / o - {z} * sqrt(p * (1 - p) / o + {z2} / 4 / o / o)) / (1 + {z2} / o) >= {rule.generalise}),
+        told AS (SELECT DISTINCT rid, term FROM x JOIN chosen USING (entity, term)),
+        extra AS (SELECT rid, string_agg('term:' || a || ':' || a + length(term), ',' ORDER BY a) AS extra
+                  FROM (SELECT rid, term, s + instr(v, term) - 1 AS a FROM free JOIN told USING (rid, term)) GROUP BY rid)
+        SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+               coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', base, extra) AS spans
+        FROM d LEFT JOIN base USING (rid) LEFT JOIN extra USING (rid)"""
+
+
 ORACLE = {
     "op3_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -114,6 +168,7 @@ ORACLE = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, n_lines, failures,
                CASE WHEN bit_count(failures) = 1 THEN ['few_words', 'repeated_windows', 'short_words', 'long_words', 'symbols', 'repeated_lines'][list_position(b, true)] END AS only_rule
         FROM x""",
+    "op5_pii": pii_sql(),
     "op1_chat_formatting": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'

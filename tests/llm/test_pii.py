@@ -5,12 +5,13 @@ import string
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import ODD
 
 from tessera.llm import pii
-from tessera.llm.queries import op5_pii
+from tessera.llm.queries import op5_pii, pii_sql
 
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -107,6 +108,17 @@ def give_away():
     return near + ["Jane Roe writes elsewhere without address"] + rest
 
 
+def test_sql_says_the_same(make, tmp_path, spark):
+    for n, texts in enumerate((TEXTS, give_away() * 2, [f"{w} {x}@c.de {w}" for w in ("", "Jane,", "(Bo)", "--", "4711") for x in ("a", "b", "A") for _ in range(3)])):
+        folder = tmp_path / str(n)
+        make(texts).write.parquet(str(folder / "documents.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        expected = con.execute(pii_sql()).fetchall()
+        assert sorted(map(tuple, op5_pii(spark, str(folder)).collect())) == sorted(expected)
+        assert n > 0 or any("term:" in r[-1] for r in expected)
+
+
 def test_terms_that_reveal_an_entity(make):
     texts = give_away()
     out = {r["doc_id"]: r["extra"] for r in pii.find(make(texts), pii.Disclosure(generalise=0.35, remove=0.9)).collect()}

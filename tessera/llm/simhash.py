@@ -294,10 +294,13 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _blocks(groups: DataFrame) -> DataFrame:
-    """``groups`` (node, first, size, root) of two nodes or more, in blocks (``mine`` of ``blocks``) of bounded nodes and shingles."""
+    """``groups`` (node, first, size, root) of two nodes or more, in blocks (``mine`` of ``blocks``) of bounded nodes and shingles.
+
+    Sizes are written before they are joined, so that the rows of a large group are not tied to the task that counted them.
+    """
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("n")).where("m > 1")
     most = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-    dealt = groups.join(sizes.select("root", most.alias("blocks")), "root")
+    dealt = groups.join(stored(sizes.select("root", most.alias("blocks")), "sizes"), "root")
     return stored(dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
 
 
@@ -400,8 +403,8 @@ def near_duplicates(docs: DataFrame, near: Near = CLOSE) -> DataFrame:
         edges = stored(keyed.mapInArrow(_linker(near), "a long, b long").distinct(), "links")
     else:
         edges = confirmed(docs, stored(shared_keys(nodes), "candidates"), near)
-    labelled = _groups(nodes.select("node", "first"), edges)
-    least = labelled.groupBy("root").agg(F.min("first").alias("of"))
+    labelled = stored(_groups(nodes.select("node", "first"), edges), "labelled")
+    least = stored(labelled.groupBy("root").agg(F.min("first").alias("of")), "roots")  # as in ``_blocks``
     roots = labelled.join(least, "root").select("node", "of")
     return rows.select("doc_id", "tie", "node", "words").join(roots, "node").select(
         "doc_id", "tie", "words", F.col("of.doc_id").alias("first_id"), F.col("of.tie").alias("first_tie")

@@ -44,6 +44,39 @@ def around(v: Column, edge: float) -> Column:
     return F.array(*[_key([s + F.lit(d) for s, d in zip(steps, shift, strict=True)]) for shift in product((-1, 0, 1), repeat=3)])
 
 
+def reached(v: Column, distance: float) -> Column:
+    """The cubes with an edge of twice ``distance`` in which vectors within ``distance`` can lie: eight at most.
+
+    Of the two cubes that are reached along each axis, those stay that the ball around the vector and the sphere both meet,
+    as a rule four or five.
+    """
+    edge = 2.0 * distance
+    total = lambda sides, name: sides[0][name] + sides[1][name] + sides[2][name]
+
+    def pair(x: Column) -> Column:
+        """The two steps of an axis, with the least distance to x and the least and greatest to 0, squared."""
+        squared = lambda value, name: (value * value).alias(name)
+        first = F.floor((x - F.lit(distance)) / F.lit(edge)).cast("long")
+
+        def side(step: Column) -> Column:
+            low, high = step * F.lit(edge), (step + F.lit(1)) * F.lit(edge)
+            gap, least, most = F.greatest(low - x, x - high, F.lit(0.0)), F.greatest(low, -high, F.lit(0.0)), F.greatest(high, -low)
+            return F.struct(step.alias("step"), squared(gap, "gap"), squared(least, "least"), squared(most, "most"))
+
+        return F.transform(F.sequence(first, first + F.lit(1)), side)
+
+    def met(*sides: Column) -> Column:
+        on = (total(sides, "least") <= 1 + 1e-9) & (total(sides, "most") >= 1 - 1e-9)
+        return (total(sides, "gap") <= F.lit(distance * distance)) & on
+
+    def keys(axes: Column) -> Column:
+        of_two = lambda a, b: F.transform(F.filter(axes["z"], lambda c: met(a, b, c)), lambda c: _key([a["step"], b["step"], c["step"]]))
+        return F.flatten(F.transform(axes["x"], lambda a: F.flatten(F.transform(axes["y"], lambda b: of_two(a, b)))))
+
+    # Functions of arrays: the eight terms written out are more than the JVM compiles. In an array so that axes are computed once.
+    return F.flatten(F.transform(F.array(F.struct(*[pair(v[n]).alias(n) for n in _AXES])), keys))
+
+
 def centre(name: str, edge: float) -> Column:
     """The middle of a cube that is given as a number."""
     step = lambda at: F.shiftright(F.col(name), at).bitwiseAND(F.lit((1 << 21) - 1)) - F.lit(1 << 20)

@@ -119,6 +119,30 @@ class JoinByTimestamp(Step):
         return df._with(joined, df.spec.merge(other.spec.drop([right]).renamed(names)).select(joined.columns))
 
 
+def _meetings(
+    left: DataFrame,
+    right: DataFrame,
+    left_time: Column,
+    right_time: Column,
+    before: float,
+    after: float,
+    condition: Column | None = None,
+    cells: tuple[Column, Column] | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """``interval_join`` with its helper columns: the times as seconds are ``__t1`` and ``__t2``."""
+    width = float(before + after) or 1.0
+    bucket = lambda t: F.floor(t / F.lit(width))
+    a = left.withColumn("__t1", left_time.cast("double"))
+    b = right.withColumn("__t2", right_time.cast("double")).withColumn("__c", bucket(F.col("__t2")))
+    exact = (F.col("__b") == F.col("__c")) & (F.col("__t1") - before <= F.col("__t2")) & (F.col("__t1") + after >= F.col("__t2"))
+    if cells is not None:
+        a, b = a.withColumn("__x", F.explode(cells[0])), b.withColumn("__y", cells[1])
+        exact = (F.col("__x") == F.col("__y")) & exact
+    a = a.withColumn("__b", F.explode(F.sequence(bucket(F.col("__t1") - before), bucket(F.col("__t1") + after))))
+    return a.join(b, exact if condition is None else exact & condition, how)
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -128,6 +152,7 @@ def interval_join(
     after: float,
     condition: Column | None = None,
     cells: tuple[Column, Column] | None = None,
+    how: str = "inner",
 ) -> DataFrame:
     """Pairs with right_time in [left_time - before, left_time + after], times and widths in seconds as numbers.
 
@@ -135,16 +160,11 @@ def interval_join(
     a right row sits in one. So this is an equi-join that shuffles by bucket, without pairs that are far apart.
     ``cells`` adds space to the key: the cells a left row looks into (an array) and the one a right row sits in. The pairs
     are then those whose cells meet as well, and one stretch of time is spread over as many keys as there are cells.
+    ``how="right"`` keeps right rows without a pair: a right row is under one key, so the join itself finds them.
     """
-    width = float(before + after) or 1.0
-    bucket = lambda t: F.floor(t / F.lit(width))
-    a = left.withColumn("__t1", left_time.cast("double")).withColumn("__b", F.explode(F.sequence(bucket(F.col("__t1") - before), bucket(F.col("__t1") + after))))
-    b = right.withColumn("__t2", right_time.cast("double")).withColumn("__c", bucket(F.col("__t2")))
-    exact = (F.col("__b") == F.col("__c")) & (F.col("__t1") - before <= F.col("__t2")) & (F.col("__t1") + after >= F.col("__t2"))
-    if cells is not None:
-        a, b = a.withColumn("__x", F.explode(cells[0])), b.withColumn("__y", cells[1])
-        exact = (F.col("__x") == F.col("__y")) & exact
-    joined = a.join(b, exact if condition is None else exact & condition)
+    if how not in ("inner", "right"):
+        raise ValueError("interval_join: a left row is under several keys, so only inner and right joins can be had")
+    joined = _meetings(left, right, left_time, right_time, before, after, condition, cells, how)
     return joined.drop("__b", "__c", "__t1", "__t2", "__x", "__y")
 
 
@@ -163,22 +183,24 @@ class JoinByIntervalAndDistance(Step):
     @output({"delta_distance": {"unit": "km"}, "delta_time": {"unit": "s"}})
     def transform(self, df: AnnotatedFrame, other: AnnotatedFrame) -> AnnotatedFrame:
         mine, theirs = self.get_name, lambda n: self.get_name(n, "other")
-        keys = [mine("id"), mine("time")]
-        place = df.df.select(*{*keys, mine("lat"), mine("lon")}).distinct().withColumnsRenamed({c: f"__l_{c}" for c in (*keys, mine("lat"), mine("lon"))})
-        l, names = (lambda n: quoted(f"__l_{mine(n)}")), {c: f"{c}_other" if c in df.column_names else c for c in other.column_names}
-        events = other.df.withColumnsRenamed(names)
-        e = lambda n: quoted(names[theirs(n)])
+        names = {c: f"{c}_other" if c in df.column_names else c for c in other.column_names}
+        places, events = (x.df.withColumnsRenamed({c: f"{mark}{c}" for c in x.column_names}) for x, mark in ((df, "__l_"), (other, "__e_")))
+        l, e = (lambda n: quoted(f"__l_{mine(n)}")), (lambda n: quoted(f"__e_{theirs(n)}"))
         away = geo.great_circle_distance(l("lat"), l("lon"), e("lat"), e("lon"), self.radius)
         seconds = lambda c, kind: c.cast("double") if isinstance(kind, T.NumericType) else scalar.micros(c) / F.lit(1e6)
         t1, t2 = seconds(l("time"), df.dtype(mine("time"))), seconds(e("time"), other.dtype(theirs("time")))
-        # An event looks for the positions around it, so positions, the larger side as a rule, are not multiplied.
-        chord = sphere.chord(self.distance_km / self.radius) + 1e-12
-        here, there = (sphere.vector(side("lat"), side("lon")) for side in (l, e))
-        cells = (sphere.around(there, chord), sphere.cube(here, chord)) if chord < 1 else None
-        near = interval_join(events, place, t2, t1, self.after, self.before, away <= F.lit(self.distance_km), cells)
-        near = near.withColumns({self.get_name("delta_distance"): away, self.get_name("delta_time"): t2 - t1})
-        on = [df.df[k].eqNullSafe(near[f"__l_{k}"]) for k in (*keys, mine("lat"), mine("lon"))]
-        joined = df.df.join(near, on, "left").drop(*(c for c in near.columns if c.startswith("__l_")))
+        # An event looks for the positions around it. A position is under one key, so the outer join is one join, and
+        # pairs, of which there may be far more than rows, are neither shuffled nor joined back to the positions.
+        angle = self.distance_km / self.radius
+        chord = max(sphere.chord(angle) + 1e-12, 1e-6)  # narrower cubes would not fit a key
+        events = events.withColumn("__v", sphere.vector(e("lat"), e("lon")))  # a column, so that it is computed once
+        cells = (sphere.reached(F.col("__v"), chord), sphere.cube(sphere.vector(l("lat"), l("lon")), 2 * chord)) if chord < 1 else None
+        # Latitudes alone tell most of the pairs of neighbouring cells apart, at less cost than a distance.
+        close = (F.abs(l("lat") - e("lat")) <= F.lit(math.degrees(angle) + 1e-9)) & (away <= F.lit(self.distance_km))
+        near = _meetings(events, places, t2, t1, self.after, self.before, close, cells, "right")
+        made = {names[c]: quoted(f"__e_{c}") for c in other.column_names}
+        made |= {self.get_name("delta_distance"): away, self.get_name("delta_time"): F.col("__t1") - F.col("__t2")}
+        joined = near.select(*[quoted(f"__l_{c}").alias(c) for c in df.column_names], *[x.alias(c) for c, x in made.items()])
         return df._with(joined, df.spec.merge(other.spec.renamed(names)).select(joined.columns))
 
 

@@ -130,6 +130,37 @@ def haversine(a, b, c, d, r=6371.0):
     return 2 * r * math.asin(math.sqrt(min(1, h)))
 
 
+def test_positions_and_events_against_loops_in_one_join(spark):
+    """Poles, the date line, copies and missing values; pairs are not joined back to the positions."""
+    rng = np.random.default_rng(3)
+    lats, lons = [-90.0, -89.9, 0.0, 89.8, 90.0], [-180.0, -179.9, 0.0, 90.0, 179.9, 180.0]
+    some = lambda n: [(float(rng.integers(0, 400)), float(rng.choice(lats) if k % 2 else rng.uniform(-90, 90)), float(rng.choice(lons))) for k in range(n)]
+    track = [(k, *x) for k, x in enumerate(some(120))]
+    track += track[:5] + [(900, None, 1.0, 1.0), (901, 5.0, None, 1.0), (None, 5.0, 90.0, 1.0)]
+    events = [(*x, k) for k, x in enumerate(some(100))] + [(None, 90.0, 0.0, 200), (5.0, 90.0, None, 201), (5.0, 90.0, 1.0, 202)]
+    deg = [ColumnSpec(c, unit="deg", representation_type=float) for c in ("lat", "lon")]
+    p = wrap(spark.createDataFrame(track, "mmsi long, t double, lat double, lon double"), *deg)
+    e = wrap(spark.createDataFrame(events, "t double, lat double, lon double, kind long"), *deg)
+    for km in (0.0, 30.0, 900.0, 30000.0):
+        step = joins.JoinByIntervalAndDistance(20, 70, km).map_names({"id": "mmsi", "time": "t"}).map_names({"time": "t"}, "other")
+        out = step.transform(p, other=e)
+        expected = []
+        for i, t, a, b in track:
+            met = [k for u, c, d, k in events if None not in (t, a, b, u, c, d) and t - 20 <= u <= t + 70 and haversine(a, b, c, d) <= km]
+            expected += [(str(i), str(k)) for k in met or [None]]
+        assert sorted((str(r["mmsi"]), str(r["kind"])) for r in out.collect()) == sorted(expected)
+        plan = out.df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Join") == 1, plan
+
+
+def test_interval_join_keeps_right_rows(spark):
+    left, right = spark.createDataFrame([(1, 0.0), (2, 5.0)], "i long, t double"), spark.createDataFrame([(7, 4.0), (8, 99.0), (9, None)], "j long, u double")
+    out = joins.interval_join(left, right, F.col("t"), F.col("u"), 3, 10, how="right")
+    assert out.columns == ["i", "t", "j", "u"] and sorted((str(r["i"]), r["j"]) for r in out.collect()) == [("1", 7), ("2", 7), ("None", 8), ("None", 9)]
+    with pytest.raises(ValueError, match="several keys"):
+        joins.interval_join(left, right, F.col("t"), F.col("u"), 3, 10, how="left")
+
+
 def test_nearest_points_by_grid_against_loops(spark):
     rng = np.random.default_rng(2)
     points = [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), strict=True)]

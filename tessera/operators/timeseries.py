@@ -18,11 +18,16 @@ def ordered(group: str | None, *order: str) -> WindowSpec:
     return base.orderBy(*[quoted(c) for c in order])
 
 
-def _seconds(df: AnnotatedFrame, name: str) -> Column:
-    """Numbers are seconds, times become microseconds first, so that differences are exact."""
+def _elapsed(df: AnnotatedFrame, name: str, w: WindowSpec) -> Column:
+    """Seconds since the previous row. Numbers are seconds; of times whole microseconds are subtracted.
+
+    Seconds since 1970 as doubles have steps of a quarter of a microsecond: their differences would not be exact.
+    """
     if isinstance(df.dtype(name), T.NumericType):
-        return quoted(name).cast("double")
-    return scalar.micros(quoted(name)) / F.lit(1e6)
+        t = quoted(name).cast("double")
+        return t - F.lag(t).over(w)
+    t = scalar.micros(quoted(name))
+    return (t - F.lag(t).over(w)) / F.lit(1e6)
 
 
 class _Ordered(Step):
@@ -110,8 +115,7 @@ class Heading(_Ordered):
         made = df.withColumn(heading, course).where(quoted(heading).isNotNull())
         if self.across_groups:
             w = ordered(None, self.get_name("group"), self.get_name("sort"), *self.tie_breaker)
-        t = _seconds(df, self.get_name("sort"))
-        change, elapsed = quoted(heading) - F.lag(quoted(heading)).over(w), t - F.lag(t).over(w)
+        change, elapsed = quoted(heading) - F.lag(quoted(heading)).over(w), _elapsed(df, self.get_name("sort"), w)
         made = made.withColumns({delta: change, speed: F.try_divide(change, elapsed)})
         return df._with(made.where(quoted(delta).isNotNull()), df.spec)
 
@@ -126,8 +130,8 @@ class AngularVelocity(_Ordered):
     @input({"group": {"representation_type": int}, "heading": {"unit": "rad"}, "time": {}})
     @output({"angular_velocity": {"unit": "rad / s"}})
     def transform(self, df: AnnotatedFrame) -> AnnotatedFrame:
-        w, h, t = self._window("time"), quoted(self.get_name("heading")), _seconds(df, self.get_name("time"))
-        gap = t - F.lag(t).over(w)
+        w, h = self._window("time"), quoted(self.get_name("heading"))
+        gap = _elapsed(df, self.get_name("time"), w)
         whole = F.when(gap < 0, F.ceil(gap)).otherwise(F.floor(gap)).cast("double")
         return df._with(df.withColumn(self.get_name("angular_velocity"), F.try_divide(h - F.lag(h).over(w), whole)), df.spec)
 

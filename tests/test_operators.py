@@ -193,6 +193,17 @@ def test_track_windows(spark):
     assert both.count() <= 1
 
 
+def test_elapsed_microseconds_are_exact(spark):
+    """As differences of seconds since 1970, 7 microseconds would be 6.91 and 58867 of them 58866.98."""
+    for gap in (7, 58867):
+        rows = [(1, k, micros, float(k), float(k * k)) for k, micros in enumerate((0, 13, 13 + gap, 400000))]
+        df = spark.createDataFrame(rows, "g long, k long, micros long, lat double, lon double")
+        df = df.withColumn("t", F.timestamp_micros(F.lit(1704585600000000) + F.col("micros"))).withColumn("h", F.col("k") * 0.5)
+        deg = [ColumnSpec(c, unit="deg", representation_type=float) for c in ("lat", "lon")]
+        turned = timeseries.Heading().map_names({"group": "g", "sort": "t"}).transform(wrap(df, *deg)).collect()
+        assert [r["angular_velocity"] for r in turned] == [turned[0]["delta_heading"] / (gap / 1e6)]
+
+
 def test_speed_drops_rows_without_time(spark):
     specs = ColumnSpec("delta_distance", unit="km"), ColumnSpec("delta_time", unit="s")
     f = wrap(spark.createDataFrame([(1.0, 3600.0), (1.0, 0.0), (1.0, None)], "delta_distance double, delta_time double"), *specs)

@@ -27,11 +27,24 @@ def _clip(x: Column) -> Column:
     return F.when(x > 1, F.lit(1.0)).when(x < -1, F.lit(-1.0)).otherwise(x)
 
 
-def cyclic_denormalisation(x_sin: Column, x_cos: Column, x_min: float, x_max: float) -> Column:
-    """The value whose cyclic normalisation has these coordinates. The half turn maps [0, 2 pi] to [-pi, pi]."""
+def half_turns(x: Column, x_min: float, x_max: float) -> Column:
+    """Whole half turns that x is beyond x_min: what sine and cosine do not tell of values outside of the range."""
+    return F.floor(F.lit(2.0) * normalize(x, x_min, x_max))
+
+
+def cyclic_denormalisation(x_sin: Column, x_cos: Column, x_min: float, x_max: float, halves: Column | None = None) -> Column:
+    """The value whose cyclic normalisation has these coordinates. The half turn maps [0, 2 pi] to [-pi, pi].
+
+    Coordinates alone give a value of the range. With ``halves``, the value's ``half_turns``, it is the value itself; half
+    turns and not whole ones, so that a place at the end of a turn is not taken for the start of the next.
+    """
     s, c = F.sin(F.asin(_clip(x_sin)) - F.lit(math.pi)), F.cos(F.acos(_clip(x_cos)) - F.lit(math.pi))
     angle = F.when(s > 0, F.acos(_clip(c))).otherwise(-F.acos(_clip(c)))
-    return normalize(angle, -math.pi, math.pi, x_min, x_max)
+    if halves is None:
+        return normalize(angle, -math.pi, math.pi, x_min, x_max)
+    place = normalize(angle, -math.pi, math.pi)
+    turns = F.floor(halves / 2 + F.lit(0.25) - place + F.lit(0.5))  # the place goes nearest to the middle of its half turn
+    return normalize(place + turns, 0, 1, x_min, x_max)
 
 
 def cycle(x: Column, n: float) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from tessera.functions import geo, scalar
 from tessera.model.spec import ColumnSpec, FrameSpec, Mode
 from tessera.operators import augment, filters, joins, sequences, statistics, timeseries, visual
 from tessera.operators.tables import written
+from tessera.plans import registry
 
 
 def wrap(df, *specs):
@@ -32,6 +33,18 @@ def test_cyclic_round_trip_and_nulls(spark):
         scalar.normalize(F.lit(1), 2, 2)
 
 
+def test_cyclic_round_trip_beyond_the_range(spark, tmp_path):
+    places = [-720.0, -361.5, -360.0, -1e-9, 0.0, 1e-9, 90.0, 179.999999, 180.0, 180.000001, 270.0, 359.9999999, 360.0, 360.5, 719.0, 720.0, 1e6 + 0.25]
+    df = spark.createDataFrame([(x,) for x in places] + [(None,)], "x double")
+    s, c = scalar.cyclic_normalisation(F.col("x"), 0, 360)
+    back = scalar.cyclic_denormalisation(s, c, 0, 360, scalar.half_turns(F.col("x"), 0, 360))
+    for r in df.select("x", back.alias("y")).collect():
+        assert r["y"] is None if r["x"] is None else r["y"] == pytest.approx(r["x"], abs=2e-6)
+    values = [0.0, 250.0, 499.99, 500.0, 520.16, 560.21, -3.5, 1500.0]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["v"] for r in registry.cyclic_roundtrip(spark, str(tmp_path)).orderBy("event_id").collect()] == values
+
+
 def test_geometry(spark):
     oslo, rome = (F.lit(59.9139), F.lit(10.7522)), (F.lit(41.9028), F.lit(12.4964))
     assert one(spark, geo.great_circle_distance(*oslo, *rome)) == pytest.approx(2007, abs=3)
